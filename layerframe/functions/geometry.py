@@ -114,13 +114,19 @@ def segments_cross(a1: Vec, a2: Vec, b1: Vec, b2: Vec, eps: float = 1e-9) -> Col
     return F.when(F.abs(den) < 1e-12, False).otherwise(inside)
 
 
-def quads_cross(a: list[Vec], b: list[Vec]) -> Column:
-    """True when any edge of quadrilateral ``a`` properly crosses one of ``b``."""
-    out = F.lit(False)
-    for i in range(4):
-        for j in range(4):
-            out = out | segments_cross(a[i], a[(i + 1) % 4], b[j], b[(j + 1) % 4])
-    return out
+def quad_edges(q: list[Vec]) -> Column:
+    """The four directed edges of a quadrilateral as an array of structs."""
+    return F.array(*[
+        F.struct(q[i][0].alias("ax"), q[i][1].alias("ay"), q[(i + 1) % 4][0].alias("bx"), q[(i + 1) % 4][1].alias("by")) for i in range(4)
+    ])
+
+
+def edges_cross(a: Column, b: Column) -> Column:
+    """True when any edge of list ``a`` properly crosses one of list ``b``."""
+    def test(e: Column, f: Column) -> Column:
+        return segments_cross((e["ax"], e["ay"]), (e["bx"], e["by"]), (f["ax"], f["ay"]), (f["bx"], f["by"]))
+
+    return F.exists(a, lambda e: F.exists(b, lambda f: test(e, f)))
 
 
 def solve2(da: Vec, db: Vec, v: Vec, eps: float = 1e-9) -> Vec:

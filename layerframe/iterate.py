@@ -1,12 +1,13 @@
 """Engine for the few operators that need rounds, and for global order without one big task.
 
-Everything here is DataFrame joins and aggregates. Between rounds the lineage is cut by a reliable
-checkpoint, so a lost executor costs one round at most.
+Everything here is DataFrame joins and aggregates. Between rounds the state is a table in
+the shared checkpoint folder, so a lost executor costs one round at most.
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -29,9 +30,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and drop its lineage."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table in the shared checkpoint folder and read it back: no lineage, true sizes.
+
+    A stored table also drops the constraints and expressions of the old plan, which otherwise pile up
+    from round to round in the optimizer.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/layerframe/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def until_stable(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], done: Callable[[DataFrame], bool],

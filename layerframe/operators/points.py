@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..iterate import grouped_quantiles
+from ..iterate import cut, grouped_quantiles
 
 
 def _near(cells: list[Column]) -> Column:
@@ -133,7 +133,7 @@ def nearest(queries: DataFrame, refs: DataFrame, keys: list[str], rkeys: list[st
 
 def nn_summary(points: DataFrame, keys: list[str], pid: str = "pt_id") -> DataFrame:
     """Median, least and count of nearest-neighbour distances per group."""
-    d = knn(points, 1, keys, pid=pid)
+    d = cut(knn(points, 1, keys, pid=pid).select(*keys, "d"))  # read three times below
     med = grouped_quantiles(d, keys, "d", [0.5]).withColumnRenamed("q0", "nn_med")
     return d.groupBy(*keys).agg(F.min("d").alias("nn_min"), F.count("*").alias("n")).join(med, keys)
 

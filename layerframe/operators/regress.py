@@ -61,11 +61,13 @@ def gray_stats(df: DataFrame, key: list[str], columns: list[str]) -> DataFrame:
     for c in columns:
         aggs += [F.avg(c).alias(f"{c}_mean"), F.stddev_pop(c).alias(f"{c}_std"), F.min(c).alias(f"{c}_min"), F.max(c).alias(f"{c}_max")]
     out = df.groupBy(*key).agg(*aggs)
-    for c in columns:
-        out = out.withColumn(f"{c}_cv", F.when(F.col(f"{c}_mean") != 0, F.col(f"{c}_std") / F.col(f"{c}_mean")).otherwise(0.0))
-        q = grouped_quantiles(df, key, c, [0.25, 0.75]).withColumnsRenamed({"q0": f"{c}_q25", "q1": f"{c}_q75"})
-        out = out.join(q, key)
-    return out.select(*key, "count", *[f"{c}_{s}" for c in columns for s in STATS])
+    out = out.withColumns({f"{c}_cv": F.when(F.col(f"{c}_mean") != 0, F.col(f"{c}_std") / F.col(f"{c}_mean")).otherwise(0.0) for c in columns})
+    # quartiles of all columns in one pass over a long layout
+    cells = F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns])
+    long = df.select(*key, F.explode(cells).alias("e")).select(*key, "e.c", "e.v")
+    q = grouped_quantiles(long, [*key, "c"], "v", [0.25, 0.75])
+    wide = q.groupBy(*key).agg(*[F.max(F.when(F.col("c") == c, F.col(f"q{i}"))).alias(f"{c}_{n}") for c in columns for i, n in enumerate(("q25", "q75"))])
+    return out.join(wide, key).select(*key, "count", *[f"{c}_{s}" for c in columns for s in STATS])
 
 
 def split_rows(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -131,8 +133,8 @@ def evaluation_long(train_test: DataFrame, node_count: int, tree_depth: int) ->
     test_r2 = train_test.filter("dataset = 'test'").select(
         F.explode(F.array(
             F.struct(F.lit("node_count").alias("metric"), F.lit(float(node_count)).alias("value")),
-            F.struct(F.lit("tree_depth"), F.lit(float(tree_depth))),
-            F.struct(F.lit("r2_per_node"), (F.col("r2") / node_count) if node_count > 0 else F.lit(0.0)),
+            F.struct(F.lit("tree_depth").alias("metric"), F.lit(float(tree_depth)).alias("value")),
+            F.struct(F.lit("r2_per_node").alias("metric"), ((F.col("r2") / node_count) if node_count > 0 else F.lit(0.0)).alias("value")),
         )).alias("e")).select("e.metric", "e.value")
     return long.unionByName(test_r2)
 

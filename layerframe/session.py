@@ -20,6 +20,7 @@ def get_session(app: str = "layerframe", cpus: int | None = None, shuffle: int |
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     if cpus:
         b = b.master(f"local[{cpus}]").config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
