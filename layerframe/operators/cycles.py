@@ -146,7 +146,7 @@ def dominant_direction_filter(cycles: DataFrame, keys: list[str], tol: float = 2
     """Keep cycles whose long diagonal is within ``tol`` of the group's dominant axis.
 
     The axis is the vector with most neighbours within ``tol`` (first in enumeration order), refined to the
-    sign-aligned mean of those neighbours. Groups with fewer than ``min_cluster`` cycles, or without a
+    sign-aligned mean of those neighbours; ``cnt`` holds the neighbour count. Groups with fewer than ``min_cluster`` cycles, or without a
     cluster, pass unfiltered.
     """
     tol = max(1.0, tol)
@@ -155,7 +155,7 @@ def dominant_direction_filter(cycles: DataFrame, keys: list[str], tol: float = 2
     best = c.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.max("cnt").alias("_best"),
         F.min_by(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct((-F.col("cnt")).alias("c"), rank_of().alias("r"))).alias("_ref"))
-    j = cycles.join(best, keys)
+    j = c.join(best, keys)
     ref, u = G.field("_ref"), G.vec("ux", "uy")
     near = G.axial_angle(ref, u) <= tol
     al = G.align_sign(u, ref)
