@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -498,9 +500,6 @@ def poisson_noise(px: DataFrame, dose: Column, seed: int, key: list[str] = KEY)
 
     Only the random draw is Python: one vectorised call per Arrow batch, seeded by a per-row hash.
     """
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def draw(lam: pd.Series, s: pd.Series) -> pd.Series:
         rng = np.random.default_rng(int(s.iloc[0]) & 0x7FFFFFFF if len(s) else 0)
