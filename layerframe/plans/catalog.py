@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_images, queries_points, queries_tables  # noqa: F401  (importing registers)
+from . import queries_images, queries_logs, queries_points, queries_tables  # noqa: F401  (importing registers)
 from .queries_tables import fit_by_group
 from .registry import QUERIES, SQL
 
