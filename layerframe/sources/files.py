@@ -116,7 +116,7 @@ def parse_xyz(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_xyz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    t = spark.read.option("wholetext", True).text(path).select(stem(F.col("_metadata.file_name")).alias("structure"), F.col("value").alias("text"))
+    t = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("structure"), F.col("value").alias("text"))
     return parse_xyz(t)
 
 
