@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..iterate import cut
+
 
 # ---------------------------------------------------------------- segmentation scores
 
@@ -79,14 +81,25 @@ def keep_best(ck: DataFrame, keys: list[str], monitor: str, k: int = 10, mode: s
 
 
 def early_stop(scores: DataFrame, keys: list[str], value: str, patience: int = 20, mode: str = "max") -> DataFrame:
-    """First epoch at which ``patience`` epochs in a row brought no new best (no minimum delta); null when never."""
-    w = Window.partitionBy(*keys).orderBy("epoch")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    """First epoch at which ``patience`` epochs in a row brought no new best (no minimum delta); null when never.
+
+    Running maxima in two levels: inside range partitions of (run, epoch), then over one row per run and
+    partition, so a run with most of the rows is still spread over tasks.
+    """
     v = F.col(value) if mode == "max" else -F.col(value)
-    d = scores.withColumn("_v", v).withColumn("_b", F.max("_v").over(before))
-    d = d.withColumn("_n", F.row_number().over(w)).withColumn("_imp", F.col("_b").isNull() | (F.col("_v") > F.col("_b")))
-    d = d.withColumn("_last", F.max(F.when(F.col("_imp"), F.col("_n"))).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return d.groupBy(*keys).agg(F.min(F.when(F.col("_n") - F.col("_last") >= patience, F.col("epoch"))).alias("stop_epoch"), F.max("_v").alias("_m")).select(
+    d = cut(scores.select(*keys, "epoch", v.alias("_v")).repartitionByRange(*keys, "epoch").withColumn("_p", F.spark_partition_id()))
+    inner = Window.partitionBy(*keys, "_p").orderBy("epoch")
+    outer = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    part = d.groupBy(*keys, "_p").agg(F.max("_v").alias("_m"), F.count("*").alias("_c"))
+    part = part.select(*keys, "_p", F.max("_m").over(outer).alias("_pm"), F.coalesce(F.sum("_c").over(outer), F.lit(0)).alias("_pn"))
+    d = d.join(part, [*keys, "_p"])
+    best = F.greatest(F.max("_v").over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.col("_pm"))
+    d = d.withColumn("_b", best).withColumn("_n", F.row_number().over(inner) + F.col("_pn"))
+    d = d.withColumn("_i", F.when(F.col("_b").isNull() | (F.col("_v") > F.col("_b")), F.col("_n")))
+    d = cut(d.withColumn("_l", F.max("_i").over(inner.rowsBetween(Window.unboundedPreceding, Window.currentRow))).select(*keys, "_p", "epoch", "_v", "_n", "_l"))
+    last = d.groupBy(*keys, "_p").agg(F.max("_l").alias("_m")).select(*keys, "_p", F.max("_m").over(outer).alias("_pl"))
+    d = d.join(last, [*keys, "_p"]).withColumn("_l", F.coalesce("_l", "_pl"))
+    return d.groupBy(*keys).agg(F.min(F.when(F.col("_n") - F.col("_l") >= patience, F.col("epoch"))).alias("stop_epoch"), F.max("_v").alias("_m")).select(
         *keys, "stop_epoch", (F.col("_m") if mode == "max" else -F.col("_m")).alias("best"))
 
 

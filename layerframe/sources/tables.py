@@ -67,8 +67,12 @@ def read_gray_tables(spark: SparkSession, folder: str, layers: int = 2) -> DataF
     body = lines.join(ok, "f").filter(F.col("value") != F.col("header"))
     parts = F.split("value", ",")
     val = [F.get(parts, F.array_position("pos", c).cast("int") - 1).try_cast("double").alias(c) for c in need]
-    w = Window.partitionBy("f").orderBy("b", "m")
-    out = body.select(*val, F.col("f").alias("source_image"), (F.row_number().over(w) - 1).cast("bigint").alias("pixel_index"))
+    # row numbers per file split, shifted by the rows of the splits before it
+    n = body.groupBy("f", "b").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    off = n.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
+    w = Window.partitionBy("f", "b").orderBy("m")
+    out = body.join(off, ["f", "b"]).select(*val, F.col("f").alias("source_image"), (F.row_number().over(w) - 1 + F.col("off")).cast("bigint").alias("pixel_index"))
     if ok.isEmpty():
         raise ValueError(f"no gray-value table with {need} in {folder}")
     return out

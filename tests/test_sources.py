@@ -117,3 +117,12 @@ def test_draws_are_reproducible_and_fair(spark):
     assert a.equals(b) and a.crop_side.mod(2).eq(0).all() and abs(a.rotate_range.mean() - 180) < 15
     n = spark.range(20000).select(V.hash_normal(1, "id").alias("z")).agg(F.avg("z").alias("m"), F.stddev("z").alias("s")).first()
     assert abs(n.m) < 0.03 and abs(n.s - 1) < 0.03 and not math.isnan(n.s)
+
+
+def test_early_stop_batch(spark):
+    from layerframe.operators.evallog import early_stop
+
+    rows = [(0, e, s) for e, s in enumerate([1.0, 2.0, 1.5, 2.0, 1.0, 3.0])] + [(1, e, float(e)) for e in range(50)]
+    df = spark.createDataFrame(rows, "run int, epoch int, score double")
+    got = {r.run: (r.stop_epoch, r.best) for r in early_stop(df, ["run"], "score", 3).collect()}
+    assert got == {0: (4, 3.0), 1: (None, 49.0)}
