@@ -272,6 +272,17 @@ def pending_items(spark, d):
     return FS.pending_items(c, o).select("item")
 
 
+@query("a12_layer_dataset", f"""WITH {T.LAYERS}, f AS (SELECT DISTINCT 'sim/' || (c_custkey % 300) AS folder FROM customer), i AS (SELECT 'sim/' || image_id AS folder, layer, x, y, v FROM layers)
+SELECT i.folder, layer, x - 1 AS x, y - 2 AS y, round(v, 6) AS v FROM i JOIN f ON f.folder = i.folder WHERE x BETWEEN 1 AND 4 AND y BETWEEN 2 AND 5 UNION ALL SELECT folder, NULL, NULL, NULL, NULL FROM f WHERE folder NOT IN (SELECT folder FROM i)""")
+def layer_dataset(spark, d):
+    lst = _scratch(spark)
+    folder = F.concat(F.lit("sim/"), (F.col("c_custkey") % 300).cast("string"))
+    T.table(spark, d, "customer").select(folder.alias("value")).write.text(lst)
+    im = T.layers(spark, d).select(F.concat(F.lit("sim/"), F.col("image_id").cast("string")).alias("folder"), "layer", "x", "y", "v", F.lit(8).alias("w"), F.lit(8).alias("h"))
+    px, missing = FS.layer_dataset(spark, lst, im, left_of=3, top_of=2, side=4)
+    return rounded(px.unionByName(missing, allowMissingColumns=True))
+
+
 @query("a14_validation_dump", f"WITH {SCO} SELECT batch AS image, count(*) AS n, sum(pred)::BIGINT AS pred_sum, sum(label)::BIGINT AS label_sum FROM pr GROUP BY batch")
 def validation_dump(spark, d):
     v = E.validation_dump(_pred(spark, d).withColumnRenamed("batch", "image"))
