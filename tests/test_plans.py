@@ -1,5 +1,7 @@
 """The stacking analysis from pixels to the interlayer table on a planted slip."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -9,6 +11,10 @@ from layerframe.sources import tables as TB
 from tests.test_lattice import patch
 
 
+# about three minutes; the parts it chains have tests of their own
+pytestmark = pytest.mark.skipif(not os.environ.get("RUN_SLOW"), reason="set RUN_SLOW=1 for the end-to-end run")
+
+
 def image(pts):
     a = np.zeros((128, 128))
     yy, xx = np.mgrid[:128, :128]
