@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, sharding, urls
+from . import chat, decontaminate, language, mixing, setsketch, sharding, urls
 from .registry import query, table
 
 
@@ -92,3 +92,8 @@ def op9(spark, d):
     held_out = language.fold(F.col("doc_id")) == 0
     model = language.train(docs, held_out)
     return language.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=("doc_id", "held_out")).drop("langs")
+
+
+@query("op10_setsketch_near_dedup")
+def op10(spark, d):
+    return setsketch.near_duplicates(table(spark, d, "documents"))
