@@ -6,8 +6,9 @@ that follows the Jaccard similarity. Bands of registers propose pairs, the joint
 register order discards hopeless ones, and the rest are verified on the full shingle sets.
 
 Documents with equal sets are one class. Each band bucket is compared with its first class, the links
-found are contracted to components, and only classes of one bucket that still lie in different
-components are compared with each other; so a bucket of copies costs one comparison per class.
+found are contracted to components, and of the classes that share a bucket but still lie in different
+components those are compared that share one of their rarest shingles; so neither a bucket of copies
+nor one of texts that drifted apart costs all its pairs.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..iterate import connected_labels, cut
@@ -149,6 +150,35 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _sharing_rare(open_classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b`` of classes with different labels that share one of their rarest shingles.
+
+    Two sets of the wanted similarity must share one of the first ``n - ceil(percent * n) + 1`` shingles in
+    any common order (prefix filter). In the order of frequency, classes that drifted apart by many
+    edits have only shingles of their own there, so a bucket full of them makes no pairs.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            data, offsets = T.bytes_of(b.column(2))
+            for i, j in T.runs(offsets):
+                sets = shingles(data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i])
+                n = np.array([len(x) for x in sets])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(np.repeat(b.column(c).to_numpy()[i:j], n)) for c in (0, 1)), pa.array(np.repeat(n, n)), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "label", "n", "shingle"]
+                )
+
+    rows = cut(open_classes.join(texts, "rep").select("rep", "label", "text").mapInArrow(run, "rep bigint, label bigint, n bigint, shingle bigint"))
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
+    ranked = rows.join(shared, "shingle")  # shingles of one class alone come first in the order and are only counted
+    own = rows.groupBy("rep").agg(F.first("n").alias("n")).join(ranked.groupBy("rep").agg(F.count("*").alias("common")), "rep").select("rep", (F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.col("common"))).alias("room"))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("freq", "shingle"))
+    prefix = cut(ranked.join(own.filter("room > 0"), "rep").withColumn("place", place).filter("place <= room").select("shingle", "rep", "label", "n"))
+    left, right = prefix.toDF("shingle", "a", "label_a", "n_a"), prefix.toDF("shingle", "b", "label_b", "n_b")
+    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    return left.alias("l").join(right.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & near).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` per row of ``docs(doc_id, text)``.
 
@@ -176,9 +206,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     # classes of one bucket that are still apart
     placed = live.join(labels.withColumnRenamed("node", "rep"), "rep").select("key", "rep", "label")
     apart = placed.groupBy("key").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least < most").select("key")
-    open_rows = cut(placed.join(apart, "key"))
-    left, right = open_rows.toDF("key", "a", "label_a"), open_rows.toDF("key", "b", "label_b")
-    rest = left.join(right, "key").filter("a < b and label_a <> label_b").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    rest = _sharing_rare(cut(placed.join(apart, "key").select("rep", "label").distinct()), texts, percent).join(first, ["a", "b"], "left_anti")
     more = cut(_verified(_likely(rest, classes, threshold), texts, percent))
     ends = more.join(labels.toDF("a", "label_a"), "a").join(labels.toDF("b", "label_b"), "b").select(F.col("label_a").alias("a"), F.col("label_b").alias("b"))
     merged = connected_labels(labels.select(F.col("label").alias("node")).distinct(), ends).toDF("label", "component")
