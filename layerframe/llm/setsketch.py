@@ -154,7 +154,8 @@ def _sharing_rare(open_classes: DataFrame, texts: DataFrame, percent: int) -> Da
     """Pairs ``a, b`` of classes with different labels that share one of their rarest shingles.
 
     Two sets of the wanted similarity must share one of the first ``n - ceil(percent * n) + 1`` shingles in
-    any common order (prefix filter). In the order of frequency, classes that drifted apart by many
+    any common order (prefix filter), and from the first one on must have enough left (positional
+    filter). In the order of frequency, classes that drifted apart by many
     edits have only shingles of their own there, so a bucket full of them makes no pairs.
     """
 
@@ -171,11 +172,13 @@ def _sharing_rare(open_classes: DataFrame, texts: DataFrame, percent: int) -> Da
     rows = cut(open_classes.join(texts, "rep").select("rep", "label", "text").mapInArrow(run, "rep bigint, label bigint, n bigint, shingle bigint"))
     shared = rows.groupBy("shingle").agg(F.count("*").alias("freq")).filter("freq > 1")
     ranked = rows.join(shared, "shingle")  # shingles of one class alone come first in the order and are only counted
-    own = rows.groupBy("rep").agg(F.first("n").alias("n")).join(ranked.groupBy("rep").agg(F.count("*").alias("common")), "rep").select("rep", (F.floor(F.col("n") * (100 - percent) / 100) + 1 - (F.col("n") - F.col("common"))).alias("room"))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("freq", "shingle"))
-    prefix = cut(ranked.join(own.filter("room > 0"), "rep").withColumn("place", place).filter("place <= room").select("shingle", "rep", "label", "n"))
-    left, right = prefix.toDF("shingle", "a", "label_a", "n_a"), prefix.toDF("shingle", "b", "label_b", "n_b")
-    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+    of_class = Window.partitionBy("rep")
+    place = F.col("n") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("freq", "shingle"))
+    prefix = cut(ranked.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("shingle", "rep", "label", "n", (F.col("n") - F.col("place") + 1).alias("left")))
+    left, right = prefix.toDF("shingle", "a", "label_a", "n_a", "left_a"), prefix.toDF("shingle", "b", "label_b", "n_b", "left_b")
+    # from their first common shingle on, two sets have at most the smaller rest in common
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
+    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & enough
     return left.alias("l").join(right.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & near).select("a", "b").distinct()
 
 
