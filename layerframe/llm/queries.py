@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, setsketch, sharding, urls
+from . import chat, decontaminate, language, mixing, pitman_yor, setsketch, sharding, urls
 from .registry import query, table
 
 
@@ -97,3 +97,8 @@ def op9(spark, d):
 @query("op10_setsketch_near_dedup")
 def op10(spark, d):
     return setsketch.near_duplicates(table(spark, d, "documents"))
+
+
+@query("op8_pitman_yor_scoring")
+def op8(spark, d):
+    return pitman_yor.score_documents(table(spark, d, "documents"))
