@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, pitman_yor, setsketch, sharding, urls
+from . import chat, decontaminate, language, mixing, outliers, pitman_yor, setsketch, sharding, urls
 from .registry import query, table
 
 
@@ -102,3 +102,8 @@ def op10(spark, d):
 @query("op8_pitman_yor_scoring")
 def op8(spark, d):
     return pitman_yor.score_documents(table(spark, d, "documents"))
+
+
+@query("op5_quality_outliers")
+def op5(spark, d):
+    return outliers.reject_outliers(table(spark, d, "documents"))
