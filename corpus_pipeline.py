@@ -1,7 +1,52 @@
-"""Pipeline stub; stages follow."""
-STAGES = []
+"""From documents to training shards: language ID, near-dedup, decontamination, mixing, sharding.
+
+Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; `run` writes every
+result to the shared checkpoint folder and reads it back as the next stage's input.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from layerframe.iterate import cut
+from layerframe.llm import decontaminate, language, mixing, setsketch, sharding
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: No SQL: mixture inference by expectation-maximisation is not expressible; tests/llm has a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without an identifiable language (no text, or no letter in it) go."""
+    model = language.train(docs, language.fold(F.col("doc_id")) == 0)
+    return language.predict(docs.select(*COLUMNS), model, keep=tuple(COLUMNS)).filter("lang_pred <> 'und'").select(*COLUMNS)
+
+
+def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates stays; rows without id stay."""
+    gone = setsketch.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them: not at all, or up to three times."""
+    return mixing.apply_mix(docs.select(*COLUMNS))
+
+
+def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_rows(docs)
+
+
+STAGES = [("language_id", identify_language), ("near_dedup", remove_near_duplicates), ("decontamination", remove_contaminated), ("mixing", mix), ("sharding", shard)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = cut(stage(spark, docs, sf_dir))
+    return docs

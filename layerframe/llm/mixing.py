@@ -50,20 +50,21 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (5, 2, 1), most: i
     return per.select("source", "source_size", "weight", F.least(share, F.col("cap").cast("double")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, bits: int = 12) -> DataFrame:
-    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, text, source)``.
-
-    ``size``: words of the text, null text 0. ``taken``: words the mix takes, 0 to ``most`` times the
-    size: every source gives whole passes, and the rest of its budget comes from the documents whose
-    hash lies below its threshold; the unit at the threshold is taken if that comes nearer. Rows with
-    the same id (or, without id, the same text) are taken together. A null source is a source of its
-    own, after all others. Empty table: no rows. Other columns are not read. Targets are exact
-    functions of integer sums, so reruns agree.
-    """
-    rows = cut(docs.select(
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
         F.col("doc_id"), F.col("source"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORDS)), F.lit(0)).cast("long").alias("size"), hash_key(F.col("doc_id"), F.col("text")).alias("h"),
-    ))
+    )
+
+
+def _copies(rows: str = "r", bounds: str = "b") -> Column:
+    """How often a row is taken: the passes of its source, and once more below the threshold."""
+    h, low = F.col(f"{rows}.h"), F.col(f"{bounds}.low")
+    return F.col(f"{bounds}.passes") + F.when((h < low) | ((h == low) & F.col(f"{bounds}.with_unit")), 1).otherwise(0)
+
+
+def thresholds(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3, bits: int = 12) -> DataFrame:
+    """Per source: ``source_size, target, passes, low, with_unit``; ``rows(source, size, h)`` is read once per level of ``bits``."""
     targets = source_targets(rows, weights, most)
     budget = (
         targets.withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -88,8 +89,29 @@ def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int =
         )
     # low is now the whole hash of the unit at the edge (-1: the budget covers all or nothing is left to take)
     nearer = (F.col("spent") + F.col("unit") - F.col("budget")) < (F.col("budget") - F.col("spent"))
-    bound = budget.select("source", "source_size", "target", "passes", "low", nearer.alias("with_unit"))
-    one_more = (F.col("r.h") < F.col("b.low")) | ((F.col("r.h") == F.col("b.low")) & F.col("b.with_unit"))
-    return rows.alias("r").join(bound.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select(
-        "r.doc_id", "r.source", "r.size", "b.source_size", "b.target", (F.col("r.size") * (F.col("b.passes") + F.when(one_more, 1).otherwise(0))).alias("taken")
+    return budget.select("source", "source_size", "target", "passes", "low", nearer.alias("with_unit"))
+
+
+def mix_sources(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """``doc_id, source, size, source_size, target, taken`` for each row of ``docs(doc_id, text, source)``.
+
+    ``size``: words of the text, null text 0. ``taken``: words the mix takes, 0 to ``most`` times the
+    size: every source gives whole passes, and the rest of its budget comes from the documents whose
+    hash lies below its threshold; the unit at the threshold is taken if that comes nearer. Rows with
+    the same id (or, without id, the same text) are taken together. A null source is a source of its
+    own, after all others. Empty table: no rows. Other columns are not read. Targets are exact
+    functions of integer sums, so reruns agree.
+    """
+    rows = cut(_sized(docs))
+    bounds = thresholds(rows, weights, most)
+    return rows.alias("r").join(bounds.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select(
+        "r.doc_id", "r.source", "r.size", "b.source_size", "b.target", (F.col("r.size") * _copies()).alias("taken")
     )
+
+
+def apply_mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as `mix_sources` takes it."""
+    bounds = thresholds(cut(_sized(docs)), weights, most)
+    keyed = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), F.col("source"), hash_key(F.col("doc_id"), F.col("text")).alias("h"))
+    taken = keyed.alias("r").join(bounds.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source"))).select("r.row", _copies().alias("copies")).filter("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")

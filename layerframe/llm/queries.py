@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, outliers, pitman_yor, setsketch, sharding, urls
+from . import chat, decontaminate, language, mixing, outliers, pitman_yor, setsketch, sharding, suffixdedup, urls
 from .registry import query, table
 
 
@@ -107,3 +107,8 @@ def op8(spark, d):
 @query("op5_quality_outliers")
 def op5(spark, d):
     return outliers.reject_outliers(table(spark, d, "documents"))
+
+
+@query("op4_suffix_dedup")
+def op4(spark, d):
+    return suffixdedup.remove_repeats(table(spark, d, "documents"))
