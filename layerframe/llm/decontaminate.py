@@ -61,7 +61,8 @@ def suffix_array(ids: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
     length = 1
     while length < depth:
         after = np.zeros(n, np.int64)
-        after[:n - length] = rank[length:]
+        if length < n:
+            after[:n - length] = rank[length:]
         key = rank * (rank.max(initial=0) + 1) + after
         key[ids == 0] = 0  # nothing goes on beyond an end
         values, rank = np.unique(key, return_inverse=True)

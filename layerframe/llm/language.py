@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 at = end
                 texts = _lowered(part.column(len(kept) - 1))
                 share, chosen = m.shares(texts)
-                best = share.argmax(1)
+                best = share.argmax(1) if m.langs else np.zeros(len(texts), int)
                 letters = [bool(m.langs) and _LETTER.search(t) is not None for t in texts]
                 names = [m.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 score = [float(min(1.0, share[i, best[i]])) if ok else 0.0 for i, ok in enumerate(letters)]

@@ -39,7 +39,7 @@ def rule_columns(host: Column, path: Column, rules: Sequence[tuple[str, str, str
 
 
 def _suffixes(host: Column, path: Column) -> dict[str, Column]:
-    return {"tld": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "first": F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.element_at(F.split(path, "/"), 2))}
+    return {"tld": F.substring_index(host, ".", -1), "domain": F.substring_index(host, ".", -2), "first": F.concat(F.substring_index(host, ".", -1), F.lit("/"), F.get(F.split(path, "/"), 1))}
 
 
 def lexical(urls: DataFrame) -> DataFrame:
