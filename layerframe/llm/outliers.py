@@ -111,14 +111,24 @@ def _distance(rows: DataFrame) -> DataFrame:
     return out.withColumn("d2", reduce(lambda a, b: a + b, [F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(P)])).drop(*[f"z_{i}" for i in range(P)])
 
 
-def _estimate(members: DataFrame) -> DataFrame:
-    """Per group: mean, Cholesky factor of the covariance (with the least deviations added) and log determinant."""
+def _half_sums(scored: DataFrame, share: float = HALF) -> DataFrame:
+    """Per group: count ``m``, sums and sums of products of the rows up to the histogram bin of ``d2`` that reaches ``share`` of the group.
+
+    Sums are formed per bin, so one pass over the rows gives the histogram and the half's moments.
+    """
     names = list(FEATURES)
     wide = lambda c: c.cast("decimal(20,0)")
-    sums = members.groupBy("g_lang", "g_source").agg(
-        F.count("*").alias("m"), *[F.sum(F.col(f)).alias(f"s_{i}") for i, f in enumerate(names)],
-        *[F.sum(wide(F.col(names[i]) * F.col(names[j]))).cast("double").alias(f"ss_{i}_{j}") for i in range(P) for j in range(i + 1)],
-    )
+    moments = {f"s_{i}": F.col(f) for i, f in enumerate(names)} | {f"ss_{i}_{j}": wide(F.col(names[i]) * F.col(names[j])) for i in range(P) for j in range(i + 1)}
+    bins = scored.groupBy("g_lang", "g_source", _bin(F.col("d2")).alias("bin")).agg(F.count("*").alias("m"), *[F.sum(c).alias(k) for k, c in moments.items()])
+    group = Window.partitionBy("g_lang", "g_source")
+    before = F.coalesce(F.sum("m").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lower = bins.withColumns({"before": before, "all": F.sum("m").over(group)}).filter(F.col("before") < F.ceil(F.col("all") * share))
+    return lower.groupBy("g_lang", "g_source").agg(F.sum("m").alias("m"), *[F.sum(k).alias(k) if k[1] == "_" else F.sum(k).cast("double").alias(k) for k in moments])
+
+
+def _estimate(sums: DataFrame) -> DataFrame:
+    """Per group: mean, Cholesky factor of the covariance (with the least deviations added) and log determinant."""
+    names = list(FEATURES)
     out = sums
     for i in range(P):
         out = out.withColumn(f"mean_{i}", F.col(f"s_{i}") / F.col("m") / SCALE)
@@ -132,16 +142,6 @@ def _estimate(members: DataFrame) -> DataFrame:
     return out.select("g_lang", "g_source", "m", *[f"mean_{i}" for i in range(P)], *[f"chol_{i}_{j}" for i in range(P) for j in range(i + 1)], log_det.alias("log_det"))
 
 
-def _half(scored: DataFrame, share: float = HALF) -> DataFrame:
-    """Rows of each group up to the histogram bin of ``d2`` that reaches ``share`` of the group."""
-    binned = scored.withColumn("bin", _bin(F.col("d2")))
-    counts = binned.groupBy("g_lang", "g_source", "bin").agg(F.count("*").alias("k"))
-    group = Window.partitionBy("g_lang", "g_source")
-    edges = counts.withColumn("upto", F.sum("k").over(group.orderBy("bin"))).withColumn("all", F.sum("k").over(group))
-    edge = edges.filter(F.col("upto") >= F.ceil(F.col("all") * share)).groupBy("g_lang", "g_source").agg(F.min("bin").alias("edge"))
-    return binned.join(edge, ["g_lang", "g_source"]).filter("bin <= edge")
-
-
 def _start(rows: DataFrame) -> DataFrame:
     """First estimate: median of each statistic (at 1 / 16 steps) and its median absolute deviation, no correlations."""
     group = ["g_lang", "g_source"]
@@ -174,7 +174,7 @@ def robust_estimates(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     now = cut(_start(rows))
     last = None
     for _ in range(steps):
-        new = _estimate(_half(_distance(rows.join(now.drop("m", "log_det", "converged"), group))))
+        new = _estimate(_half_sums(_distance(rows.join(now.drop("m", "log_det", "converged"), group))))
         if last is None:
             now = cut(new.withColumn("converged", F.lit(False)))
         else:
