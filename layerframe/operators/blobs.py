@@ -75,10 +75,10 @@ def contour_area(labelled: DataFrame, key: list[str] = KEY) -> DataFrame:
 
 
 def detect_atoms(px: DataFrame, key: list[str] = KEY, use_highpass: bool = True, sigma: float = 6.0, factor: float = 1.8, min_area: float = 100.0, area_ref: int = 512,
-                 min_distance: float = 5.0, max_points: int = 512) -> DataFrame:
+                 min_distance: float = 5.0, max_points: int | None = None) -> DataFrame:
     """Atom centres of gray images: stretch, high-pass, mean threshold, components, area filter, thinning.
 
-    The area limit is scaled by (min(h, w)/area_ref)². ``(key, pt_id, x, y, area)``.
+    The area limit is scaled by (min(h, w)/area_ref)². ``(key, pt_id, x, y, area)``. All atoms are kept unless ``max_points`` is given.
     """
     g = min_max(px.select(*key, "x", "y", "v"), key)
     if use_highpass:

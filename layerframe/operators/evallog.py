@@ -116,9 +116,12 @@ def dump_mean(log: DataFrame, interval: int) -> DataFrame:
 
 
 def weighted_mean(log: DataFrame, keys: list[str]) -> DataFrame:
-    """Count-weighted mean over ranks of text values; non-numeric ones are ignored."""
-    d = log.withColumn("_v", F.col("value").try_cast("double")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    return d.groupBy(*keys).agg((F.sum(F.col("_v") * F.col("cnt")) / F.sum("cnt")).alias("value"), F.sum("cnt").alias("cnt"))
+    """Count-weighted mean over ranks of text values; non-numeric ones are ignored, NaN makes the mean NaN.
+
+    Null where all counts are zero.
+    """
+    d = log.withColumn("_v", F.col("value").try_cast("double")).filter(F.col("_v").isNotNull())
+    return d.groupBy(*keys).agg(F.try_divide(F.sum(F.col("_v") * F.col("cnt")), F.sum("cnt")).alias("value"), F.sum("cnt").alias("cnt"))
 
 
 def loss_quartile(t: Column, total: int) -> Column:

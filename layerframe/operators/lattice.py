@@ -217,9 +217,9 @@ def pick_origin(cycles: DataFrame, keys: list[str], width: Column, height: Colum
     dx, dy = F.col("cx") - F.col("_mx"), F.col("cy") - F.col("_my")
     best = d.groupBy(*keys).agg(F.min_by(F.struct(*C.COORDS, "_mx", "_my"), F.struct((dx * dx + dy * dy).alias("d"), F.col("seq"))).alias("b")).select(*keys, "b.*")
     p = [(F.col(f"x{i}"), F.col(f"y{i}")) for i in range(4)]
-    neigh = {0: (1, 3), 1: (0, 2), 2: (1, 3), 3: (0, 2)}
     corner = []
-    for i, (j, k) in neigh.items():
+    for i in range(4):
+        j, k = sorted(((i + 1) % 4, (i + 3) % 4))
         e1, e2 = G.sub(p[j], p[i]), G.sub(p[k], p[i])
         ex, ey = p[i][0] - F.col("_mx"), p[i][1] - F.col("_my")
         corner.append(F.struct(G.directed_angle(e1, e2).alias("ang"), (ex * ex + ey * ey).alias("d2"), F.lit(i).alias("i"), G.as_struct(p[i]).alias("o"), G.as_struct(e1).alias("e1"), G.as_struct(e2).alias("e2")))
@@ -289,6 +289,8 @@ def grow_components(points: DataFrame, candidates: DataFrame, nn: DataFrame, key
         new = C.grow(points.join(chosen.select(*keys), keys, "left_semi"), chosen, keys, max_hop, no_intersect, total)
         new = new.withColumn("component", F.lit(comp))
         total = cut(new if total is None else total.unionByName(new))
+    if total is None:  # no group has a seed
+        total = candidates.filter(F.lit(False)).select(*keys, *C.VERTS, *C.COORDS, *[F.lit(0.0).alias(c) for c in ("cx", "cy")], *[F.lit(0).alias(c) for c in ("seq", "component")])
     return total
 
 

@@ -503,12 +503,34 @@ def gaussian_noise(px: DataFrame, sigma: Column | float, seed: int, key: list[st
 def poisson_noise(px: DataFrame, dose: Column, seed: int, key: list[str] = KEY) -> DataFrame:
     """Shot noise: counts ~ Poisson(rel·dose) of the range-scaled value, scaled back.
 
-    Only the random draw is Python: one vectorised call per Arrow batch, seeded by a per-row hash.
+    Only the draw is Python, by the inverse distribution function of uniforms from a hash of the row, so
+    it does not depend on partitions or batches. A large rate is drawn as a sum of parts of at most 500.
     """
     @F.pandas_udf("double")
     def draw(lam: pd.Series, s: pd.Series) -> pd.Series:
-        rng = np.random.default_rng(int(s.iloc[0]) & 0x7FFFFFFF if len(s) else 0)
-        return pd.Series(rng.poisson(lam.clip(lower=0).to_numpy()).astype("float64"))
+        left, seeds = lam.fillna(0.0).clip(lower=0).to_numpy(copy=True), s.to_numpy().astype(np.uint64)
+        out = np.zeros(len(left))
+        part = 0
+        while len(live := np.flatnonzero(left > 0)):
+            rate = np.minimum(left[live], 500.0)
+            left[live] -= rate
+            part += 1
+            h = seeds[live] + np.uint64(part * 0x9E3779B97F4A7C15 % (1 << 64))
+            h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)) * 2.0 ** -53
+            p = np.exp(-rate)
+            upto, k = p.copy(), 0
+            above = np.flatnonzero(u > upto)
+            while len(above):
+                k += 1
+                p[above] *= rate[above] / k
+                before = upto[above]
+                upto[above] = before + p[above]
+                out[live[above]] += 1
+                # rounding may leave the last sum just below 1
+                above = above[(u[above] > upto[above]) & ((upto[above] > before) | (k < rate[above]))]
+        return pd.Series(out).where(lam.notna().to_numpy())
 
     d = _with(px, key, F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)

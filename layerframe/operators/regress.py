@@ -87,11 +87,15 @@ def fill_nan_predictions(df: DataFrame, key: list[str], y: str = "y", pred: str
 
 
 def metric_aggs(y: Column, p: Column) -> list[Column]:
-    """r2, rmse, mae, mape (zero targets left out), mse and n in one aggregate pass."""
+    """r2, rmse, mae, mape (zero targets left out), mse and n in one aggregate pass.
+
+    r2 of a constant target is 1 for a perfect fit, else 0.
+    """
     e = y - p
     mse = F.avg(e * e)
+    constant = F.when(F.sum(e * e) == 0, 1.0).when(F.sum(e * e) > 0, 0.0)
     return [
-        (1.0 - F.sum(e * e) / (F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
+        F.when(F.min(y) == F.max(y), constant).otherwise(1.0 - F.try_divide(F.sum(e * e), F.var_pop(y) * F.count(y))).alias("r2"), F.sqrt(mse).alias("rmse"), F.avg(F.abs(e)).alias("mae"),
         (F.avg(F.when(y != 0, F.abs(e / y))) * 100.0).alias("mape"), mse.alias("mse"), F.count(y).alias("n"),
     ]
 

@@ -14,7 +14,7 @@ from ..operators.pixels import image_size
 from ..sources.files import point_cloud_json
 
 
-def analyse_folders(px: DataFrame, out_scale: float = 4.0, slip_deg: float = 5.0, use_highpass: bool = True, max_points: int = 4000) -> dict[str, DataFrame]:
+def analyse_folders(px: DataFrame, out_scale: float = 4.0, slip_deg: float = 5.0, use_highpass: bool = True, max_points: int | None = None) -> dict[str, DataFrame]:
     """All tables of the analysis. ``px``: image_id (a path), x, y, v.
 
     points: detected atoms in scaled coordinates, per folder and layer. lattice: origin and vectors per layer.

@@ -126,3 +126,10 @@ def test_twist_recovered(spark):
     cen = spark.createDataFrame([(0, 11.0)], "sample long, center double")
     r = IL.search_twist(v0, v1, cen, ["sample"], radius=4.0, refine=((0.2, 2.0), (0.02, 0.4))).first()
     assert r.twist_fine_deg == pytest.approx(12.0, abs=0.1)
+
+
+def test_layer_lattice_without_any_seed(spark):
+    far = [[13.0 * i * i, 29.0 * i] for i in range(14)]
+    im = spark.createDataFrame([(0, 2600, 400, 27.9)], "sample long, w int, h int, side_angstrom double")
+    r = L.layer_lattice(frame(spark, {0: np.array(far)}), im, ["sample"]).collect()
+    assert len(r) == 1 and r[0].reason and r[0].da is None

@@ -124,3 +124,15 @@ def test_detects_planted_discs(spark):
     px = spark.createDataFrame(pd.DataFrame([(0, x, y, float(a[y, x])) for y in range(64) for x in range(64)], columns=["image_id", "x", "y", "v"]))
     got = B.detect_atoms(px, sigma=6.0).toPandas()
     assert sorted((round(r.y), round(r.x)) for r in got.itertuples()) == centres
+
+
+def test_poisson_noise_does_not_depend_on_partitions(spark):
+    px = spark.range(4000).selectExpr("'a' image_id", "int(id % 80) x", "int(id / 80) y", "double(id % 100) v")
+    key = ["image_id"]
+    one = P.poisson_noise(px.repartition(1), F.lit(900.0), 3, key).toPandas().sort_values(["y", "x"]).v.to_numpy()
+    many = P.poisson_noise(px.repartition(7, "x"), F.lit(900.0), 3, key).toPandas().sort_values(["y", "x"]).v.to_numpy()
+    assert (one == many).all()
+    rate = np.arange(4000) % 100 / 99.0 * 900
+    counts = one / 99.0 * 900
+    z = (counts - rate)[rate > 50] / np.sqrt(rate[rate > 50])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and (counts[rate == 0] == 0).all()

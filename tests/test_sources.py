@@ -126,3 +126,8 @@ def test_early_stop_batch(spark):
     df = spark.createDataFrame(rows, "run int, epoch int, score double")
     got = {r.run: (r.stop_epoch, r.best) for r in early_stop(df, ["run"], "score", 3).collect()}
     assert got == {0: (4, 3.0), 1: (None, 49.0)}
+
+
+def test_metrics_of_a_constant_target(spark):
+    df = spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 2.0), ("b", 0.1, 1.0), ("b", 0.1, 0.1), ("c", 1.0, 1.0), ("c", 3.0, 2.0)], "g string, y double, pred double")
+    assert {r.g: r.r2 for r in R.evaluate(df, ["g"]).collect()} == {"a": 1.0, "b": 0.0, "c": 0.5}
