@@ -7,10 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import hash_uniform
 from ..iterate import cut, global_order
 from . import pixels as P
 from .points import nearest
-from .variants import hash_uniform
 
 # Default ranges of the augmentation parameters; a pair is drawn uniformly, a number is taken as is.
 DEFAULTS = {
@@ -32,7 +32,8 @@ OFF = {"display": {"gain": 1.0, "bias": 0.0, "gamma": 1.0}}
 def draw_table(images: DataFrame, keys: list[str], n: int, seed: int, config: dict | None = None, disable: tuple[str, ...] = ()) -> DataFrame:
     """n concrete parameter sets per image: ``keys, draw`` and one column per parameter.
 
-    Draws come from a hash of image, draw and parameter, so a lost task draws the same values again.
+    Draws come from a hash of image, draw and parameter, so a lost task draws the same values again. A disabled
+    group keeps its values and has ``<group>_enabled`` false; only the display values are then neutral.
     """
     config = config or {}
     off = set(DEFAULTS) if "all" in disable else {d.strip().lower() for d in disable}
@@ -45,7 +46,7 @@ def draw_table(images: DataFrame, keys: list[str], n: int, seed: int, config: di
             k += 1
             value = {**params, **config.get(group, {})}[name]
             if group in off:
-                value = OFF.get(group, {}).get(name, 0.0)
+                value = OFF.get(group, {}).get(name, value)
             u = hash_uniform(seed + k, *keys, "draw")
             cols[f"{group}_{name}"] = F.lit(float(value[0])) + u * float(value[1] - value[0]) if isinstance(value, (list, tuple)) else F.lit(float(value))
     side = F.bround(cols["crop_side"]).cast("int")
@@ -68,7 +69,7 @@ def safe_centers(mask: DataFrame, draws: DataFrame, key: list[str], seed: int, d
 
     Without one, the radius falls back to half the side. ``mask``: key, x, y, v (> 0.5 is safe ground);
     ``draws``: key, draw, side, safe_radius. Distances are exact, by the neighbour join. A draw without any
-    centre is absent from the result.
+    centre has null ``cx`` and ``cy`` and the ``reason`` no_safe_center.
     """
     size = P.image_size(mask, key)
     zero = mask.filter("v <= 0.5").select(*key, F.struct("y", "x").alias("pt_id"), "x", "y")
@@ -84,7 +85,9 @@ def safe_centers(mask: DataFrame, draws: DataFrame, key: list[str], seed: int, d
     j = j.filter(strict | (F.col("d") > F.col("side") / 2.0))
     # strict candidates first, then a uniform pick by hash
     o = F.struct((~strict).alias("s"), F.xxhash64(F.lit(seed), *key, draw, "x", "y").alias("h"))
-    return j.groupBy(*key, draw).agg(F.min_by(F.struct("x", "y"), o).alias("c")).select(*key, draw, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"))
+    picked = j.groupBy(*key, draw).agg(F.min_by(F.struct("x", "y"), o).alias("c"))
+    found = draws.select(*key, draw).join(picked, [*key, draw], "left")
+    return found.select(*key, draw, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.when(F.col("c").isNull(), "no_safe_center").alias("reason"))
 
 
 def corner_jitter(seed: int, ident: list[str], ratio: Column, w: Column, h: Column) -> Column:
@@ -97,40 +100,51 @@ def corner_jitter(seed: int, ident: list[str], ratio: Column, w: Column, h: Colu
 def stem_pipeline(images: DataFrame, masks: DataFrame, draws: DataFrame, key: list[str], out_size: int = 128, seed: int = 0) -> DataFrame:
     """Perspective → rotate → safe crop → resize → flip → edge mask → scan, Poisson, Gaussian noise → display → −1..1.
 
-    ``images`` and ``masks``: key, x, y, v in 0..1; ``draws``: table of :func:`draw_table`. Output
-    ``key, draw, x, y, v``. Elastic warp and carbon film are not applied.
+    ``images`` and ``masks``: key, x, y, v in 0..1; ``draws``: table of :func:`draw_table`. A step whose
+    ``_enabled`` column is false is skipped; without the crop the whole frame is resized. Output ``key, draw,
+    x, y, v, reason``: a draw without a safe centre is one row without pixel and with the reason. Elastic
+    warp and carbon film are not applied.
     """
     k2 = [*key, "draw"]
     d = cut(draws.join(P.image_size(images, key), key))
+    on = lambda group, value, other: F.when(F.col(f"{group}_enabled"), F.col(value)).otherwise(F.lit(other))
     px = images.join(d.select(*k2), key).select(*k2, "x", "y", "v")
-    mk = masks.join(d.select(*k2), key).select(*k2, "x", "y", "v")
-    warp = d.select(*k2, "w", "h", corner_jitter(seed, k2, F.col("perspective_max_ratio"), F.col("w"), F.col("h")).alias("q"))
+    mk = masks.join(d.filter("crop_enabled").select(*k2), key).select(*k2, "x", "y", "v")
+    warp = d.select(*k2, "w", "h", corner_jitter(seed, k2, on("perspective", "perspective_max_ratio", 0.0), F.col("w"), F.col("h")).alias("q"))
     px = P.perspective(px, warp, "bilinear", "reflect101", k2)
-    turn = d.select(*k2, "w", "h", F.col("rotate_range").alias("angle"))
+    turn = d.select(*k2, "w", "h", on("rotate", "rotate_range", 0.0).alias("angle"))
     px = cut(P.rotate(px, turn, "bilinear", "reflect101", key=k2))
-    mk = P.rotate(mk, turn, "nearest", "reflect101", key=k2)
-    want = d.select(*k2, F.col("crop_side").alias("side"), F.col("crop_safe_radius").alias("safe_radius"))
+    mk = P.rotate(mk, turn.join(d.filter("crop_enabled").select(*k2), k2), "nearest", "reflect101", key=k2)
+    want = d.filter("crop_enabled").select(*k2, F.col("crop_side").alias("side"), F.col("crop_safe_radius").alias("safe_radius"))
     # image and draw together are the key here: every draw has its own turned mask
     c = cut(safe_centers(mk, want.withColumn("_d", F.lit(0)), k2, seed, "_d").drop("_d"))
-    win = want.join(c, k2).select(*k2, "side", (F.col("cx") - F.floor(F.col("side") / 2)).cast("int").alias("left"), (F.col("cy") - F.floor(F.col("side") / 2)).cast("int").alias("top"))
-    px = P.crop(px.join(win, k2), F.col("left"), F.col("top"), F.col("side"), F.col("side")).select(*k2, "x", "y", "v")
-    box = win.select(*k2, F.col("side").alias("w"), F.col("side").alias("h"))
+    lost = c.filter("reason is not null").select(*k2, "reason")
+    half = F.floor(F.col("side") / 2)
+    win = want.join(c.filter("reason is null"), k2).select(*k2, F.col("side").alias("cw"), F.col("side").alias("ch"), (F.col("cx") - half).cast("int").alias("left"), (F.col("cy") - half).cast("int").alias("top"))
+    whole = d.filter("not crop_enabled").select(*k2, F.col("w").alias("cw"), F.col("h").alias("ch"), F.lit(0).alias("left"), F.lit(0).alias("top"))
+    win = win.unionByName(whole)
+    px = P.crop(px.join(win, k2), F.col("left"), F.col("top"), F.col("cw"), F.col("ch")).select(*k2, "x", "y", "v")
+    box = win.select(*k2, F.col("cw").alias("w"), F.col("ch").alias("h"))
     px = P.resize(px, out_size, out_size, "bilinear", k2, box)
     frame = win.select(*k2, F.lit(out_size).alias("w"), F.lit(out_size).alias("h"))
-    fl = d.select(*k2, (hash_uniform(seed + 31, *k2) < F.col("flip_h_prob")).alias("fh"), (hash_uniform(seed + 32, *k2) < F.col("flip_v_prob")).alias("fv"))
+    fl = d.select(*k2, (hash_uniform(seed + 31, *k2) < on("flip", "flip_h_prob", 0.0)).alias("fh"), (hash_uniform(seed + 32, *k2) < on("flip", "flip_v_prob", 0.0)).alias("fv"))
     px = P.flip(px.join(fl, k2), frame, F.col("fh"), F.col("fv"), k2).select(*k2, "x", "y", "v")
-    em = frame.join(d.select(*k2, "edge_mask_prob"), k2)
-    px = P.edge_mask(px, em, F.col("edge_mask_prob"), 0.0, 0.05, seed + 40, k2)
-    kk = 2.0 * F.col("side") / float(out_size)
-    n = win.join(d.drop("w", "h"), k2).withColumns({"w": F.lit(out_size), "h": F.lit(out_size), "k": kk})
+    em = frame.join(d.select(*k2, on("edge_mask", "edge_mask_prob", 0.0).alias("edge_prob"), "edge_mask_bg_min", "edge_mask_bg_max"), k2)
+    px = cut(P.edge_mask(px, em, F.col("edge_prob"), F.col("edge_mask_bg_min"), F.col("edge_mask_bg_max"), seed + 40, k2))
+    n = win.join(d.drop("w", "h"), k2).withColumns({"w": F.lit(out_size), "h": F.lit(out_size), "k": 2.0 * F.least("cw", "ch") / float(out_size)})
     n = n.withColumns({"sigma_px": F.col("noise_sigma_jitter_A") / (F.col("noise_pixel_size_A_orig") * F.col("k")), "row_time": F.col("noise_dwell_time_s") * F.col("noise_width_orig_px"),
                        "freq": F.col("noise_line_freq_hz"), "phase_x": F.col("noise_phase_x"), "phase_y": F.col("noise_phase_y")})
-    px = cut(P.scan_jitter(cut(px), n.select(*k2, "w", "h", "sigma_px", "row_time", "freq", "phase_x", "phase_y"), seed + 50, k2))
-    par = n.select(*k2, P.electron_dose(F.col("noise_beam_current_A"), F.col("noise_dwell_time_s"), F.col("k")).alias("dose"), "noise_gaussian_sigma", "display_gain", "display_bias", "display_gamma")
-    px = cut(P.poisson_noise(px.join(par, k2), F.col("dose"), seed + 60, k2))
-    px = P.gaussian_noise(px, F.col("noise_gaussian_sigma"), seed + 70, k2)
-    v = P.display_adjust(F.col("v"), F.col("display_gain"), F.col("display_bias"), F.col("display_gamma"))
-    return px.select(*k2, "x", "y", P.unit_to_signed(P.clip(v, 0.0, 1.0)).alias("v"))
+    noisy = n.filter("noise_enabled")
+    loud = cut(P.scan_jitter(px.join(noisy.select(*k2), k2), noisy.select(*k2, "w", "h", "sigma_px", "row_time", "freq", "phase_x", "phase_y"), seed + 50, k2))
+    par = noisy.select(*k2, P.electron_dose(F.col("noise_beam_current_A"), F.col("noise_dwell_time_s"), F.col("k")).alias("dose"), "noise_gaussian_sigma")
+    loud = cut(P.poisson_noise(loud.join(par, k2), F.col("dose"), seed + 60, k2))
+    loud = P.gaussian_noise(loud, F.col("noise_gaussian_sigma"), seed + 70, k2).select(*k2, "x", "y", "v")
+    quiet = px.join(n.filter("not noise_enabled").select(*k2), k2).select(*k2, "x", "y", "v")
+    px = loud.unionByName(quiet).join(d.select(*k2, "display_enabled", "display_gain", "display_bias", "display_gamma"), k2)
+    shown = P.display_adjust(F.col("v"), F.col("display_gain"), F.col("display_bias"), F.col("display_gamma"))
+    v = F.when(F.col("display_enabled"), shown).otherwise(F.col("v"))
+    px = px.select(*k2, "x", "y", P.unit_to_signed(P.clip(v, 0.0, 1.0)).alias("v"), F.lit(None).cast("string").alias("reason"))
+    return px.unionByName(lost, allowMissingColumns=True)
 
 
 def segmentation_pipeline(images: DataFrame, masks: DataFrame, key: list[str], dim: int, seed: int, train: bool = True, pre: int = 750, side: tuple[int, int] = (450, 599), val: int = 550) -> DataFrame:

@@ -105,9 +105,13 @@ def early_stop(scores: DataFrame, keys: list[str], value: str, patience: int = 2
 
 # ---------------------------------------------------------------- key/value logs
 
-def dump_last(log: DataFrame, interval: int) -> DataFrame:
-    """Last value of each key per dump interval."""
-    return log.groupBy("run", F.floor(F.col("step") / interval).alias("dump"), "key").agg(F.max_by("value", "step").alias("value"))
+def dump_last(log: DataFrame, interval: int, seq: list[str] | None = None) -> DataFrame:
+    """Last value of each key per dump interval.
+
+    ``seq``: columns that order the rows of one step, the last one wins; without them the largest value of the last step.
+    """
+    order = F.struct("step", *(seq or ["value"]))
+    return log.groupBy("run", F.floor(F.col("step") / interval).alias("dump"), "key").agg(F.max_by("value", order).alias("value"))
 
 
 def dump_mean(log: DataFrame, interval: int) -> DataFrame:

@@ -125,7 +125,7 @@ def pick_axes(hist: DataFrame, keys: list[str], max_candidates: int = 6, min_sep
 def choose_two(axes: Column) -> Column:
     """Strongest axis and the one whose separation (≥ 20°) is closest to 60°; else the first two."""
     first = axes[0]
-    rest = F.slice(axes, 2, 100)
+    rest = F.slice(axes, F.lit(2), F.greatest(F.size(axes) - 1, F.lit(0)))
     ok = F.filter(rest, lambda p: _sep(p["a"], first["a"]) >= 20.0)
     keyed = F.array_sort(F.transform(ok, lambda p: F.struct(F.abs(_sep(p["a"], first["a"]) - 60.0).alias("k"), (-p["w"]).alias("w"), p["a"].alias("a"))))
     second = F.coalesce(F.try_element_at(keyed, F.lit(1))["a"], F.try_element_at(axes, F.lit(2))["a"])

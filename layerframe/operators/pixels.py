@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip
+from ..functions.numeric import clip, hash_normal, hash_uniform
 
 KEY = ["image_id"]
 BLOCK = 256
@@ -147,22 +147,22 @@ def grid_of(images: DataFrame, width: Column, height: Column) -> DataFrame:
 
 def random_crop_plan(size: DataFrame, side_min: int, side_max: int, seed: int, key: list[str] = KEY) -> DataFrame:
     """One square window per image: side uniform in [min, max], frame padded to the side when smaller, offset uniform."""
-    d = size.withColumn("side", (F.floor(F.rand(seed) * (side_max - side_min + 1)) + side_min).cast("int"))
+    d = size.withColumn("side", (F.floor(hash_uniform(seed, *key) * (side_max - side_min + 1)) + side_min).cast("int"))
     for s, o, k in (("w", "left", 1), ("h", "top", 2)):
         slack = F.greatest(F.lit(0), F.col(s) - F.col("side"))
         padding = F.floor(F.greatest(F.lit(0), F.col("side") - F.col(s)) / 2)
-        d = d.withColumn(o, (F.floor(F.rand(seed + k) * (slack + 1)) - padding).cast("int"))
+        d = d.withColumn(o, (F.floor(hash_uniform(seed + k, *key) * (slack + 1)) - padding).cast("int"))
     return d
 
 
-def random_fraction_plan(size: DataFrame, target: int, lo: float, hi: float, seed: int) -> DataFrame:
+def random_fraction_plan(size: DataFrame, target: int, lo: float, hi: float, seed: int, key: list[str] = KEY) -> DataFrame:
     """Shorter side scaled to U(target/hi, target/lo) pixels, then a random target × target window."""
-    small = F.floor(F.rand(seed) * (math.ceil(target / lo) - math.ceil(target / hi) + 1)) + math.ceil(target / hi)
+    small = F.floor(hash_uniform(seed, *key) * (math.ceil(target / lo) - math.ceil(target / hi) + 1)) + math.ceil(target / hi)
     d = size.withColumn("short", small.cast("int"))
     k = F.col("short") / F.least("w", "h")
     d = d.withColumn("rw", F.bround(F.col("w") * k).cast("int")).withColumn("rh", F.bround(F.col("h") * k).cast("int"))
-    d = d.withColumn("left", F.floor(F.rand(seed + 1) * (F.col("rw") - target + 1)).cast("int"))
-    return d.withColumn("top", F.floor(F.rand(seed + 2) * (F.col("rh") - target + 1)).cast("int"))
+    d = d.withColumn("left", F.floor(hash_uniform(seed + 1, *key) * (F.col("rw") - target + 1)).cast("int"))
+    return d.withColumn("top", F.floor(hash_uniform(seed + 2, *key) * (F.col("rh") - target + 1)).cast("int"))
 
 
 def apply_crop_plan(px: DataFrame, plan: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -484,8 +484,8 @@ def scan_jitter(px: DataFrame, plan: DataFrame, seed: int, key: list[str] = KEY)
     """
     rows = plan.withColumn("y", F.explode(F.sequence(F.lit(0), (F.col("h") - 1).cast("int"))))
     t = 2.0 * math.pi * F.col("freq") * F.col("y") * F.col("row_time")
-    rows = rows.withColumn("ox", F.randn(seed) * F.col("sigma_px") * F.sin(t + F.col("phase_x")))
-    rows = rows.withColumn("oy", F.randn(seed + 1) * F.col("sigma_px") * F.sin(t + F.col("phase_y")))
+    rows = rows.withColumn("ox", hash_normal(seed, *key, "y") * F.col("sigma_px") * F.sin(t + F.col("phase_x")))
+    rows = rows.withColumn("oy", hash_normal(seed + 1, *key, "y") * F.col("sigma_px") * F.sin(t + F.col("phase_y")))
     g = rows.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("w") - 1).cast("int"))))
     g = g.withColumn("sx", F.col("x") - F.col("oy")).withColumn("sy", F.col("y") - F.col("ox"))
     return sample_at(g, px, "bilinear", "reflect101", key)
@@ -497,7 +497,7 @@ def gaussian_noise(px: DataFrame, sigma: Column | float, seed: int, key: list[st
     """Normal noise scaled by the image range and clipped to it."""
     d = _with(px, key, F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     span = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    return d.withColumn("v", clip(F.col("v") + F.randn(seed) * sigma * span, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
+    return d.withColumn("v", clip(F.col("v") + hash_normal(seed, *key, "x", "y") * sigma * span, F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
 
 
 def poisson_noise(px: DataFrame, dose: Column, seed: int, key: list[str] = KEY) -> DataFrame:
@@ -559,12 +559,12 @@ def edge_curve(t: Column, length: Column, p: list[Column]) -> Column:
     return out
 
 
-def edge_mask(px: DataFrame, size: DataFrame, prob: Column | float, bg_min: float, bg_max: float, seed: int, key: list[str] = KEY) -> DataFrame:
+def edge_mask(px: DataFrame, size: DataFrame, prob: Column | float, bg_min: Column | float, bg_max: Column | float, seed: int, key: list[str] = KEY) -> DataFrame:
     """Irregular dark edge: each side with ``prob``, bounded by a cubic through four random depths of 15..30 %."""
     plan = size
     for s, side in enumerate(("l", "r", "t", "b")):
-        plan = plan.withColumn(f"on_{side}", F.rand(seed + 10 * s) < prob)
-        depth = F.array(*[F.rand(seed + 10 * s + 1 + i) * 0.15 + 0.15 for i in range(4)])
+        plan = plan.withColumn(f"on_{side}", hash_uniform(seed + 10 * s, *key) < prob)
+        depth = F.array(*[hash_uniform(seed + 10 * s + 1 + i, *key) * 0.15 + 0.15 for i in range(4)])
         plan = plan.withColumn(f"p_{side}", depth)
     d = px.join(plan, key)
     x, y, w, h = F.col("x"), F.col("y"), F.col("w"), F.col("h")
@@ -576,4 +576,4 @@ def edge_mask(px: DataFrame, size: DataFrame, prob: Column | float, bg_min: floa
         (F.col("on_l") & (x < curve("l", y, h, w))) | (F.col("on_r") & (x > w - curve("r", y, h, w)))
         | (F.col("on_t") & (y < curve("t", x, w, h))) | (F.col("on_b") & (y > h - curve("b", x, w, h)))
     )
-    return d.select(*key, "x", "y", F.when(hit, F.rand(seed + 99) * (bg_max - bg_min) + bg_min).otherwise(F.col("v")).alias("v"))
+    return d.select(*key, "x", "y", F.when(hit, hash_uniform(seed + 99, *key, "x", "y") * (bg_max - bg_min) + bg_min).otherwise(F.col("v")).alias("v"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.numeric import hash_normal, hash_uniform
 from .blobs import disc_offsets
 
 # Atomic numbers of the elements the structure files use.
@@ -38,19 +39,6 @@ def uniform_choice(values: Column, u: Column) -> Column:
     return F.element_at(values, F.least(F.size(values), F.floor(u * F.size(values)).cast("int") + 1))
 
 
-def hash_uniform(seed: int, *cols: str | Column) -> Column:
-    """Reproducible number in [0, 1) from a row key: the same on every retry of a task."""
-    return F.pmod(F.xxhash64(F.lit(seed), *cols), F.lit(1 << 52)) / float(1 << 52)
-
-
-def hash_normal(seed: int, *cols: str | Column) -> Column:
-    """Reproducible standard normal from a row key (Box–Muller)."""
-    import math
-
-    u = F.greatest(hash_uniform(seed, *cols), F.lit(1e-300))
-    return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * hash_uniform(seed + 7919, *cols))
-
-
 def thermal(atoms: DataFrame, sigma: Column, seed: int, ident: list[str]) -> DataFrame:
     """Normal displacement of every coordinate where sigma > 0."""
     out = atoms
@@ -111,8 +99,12 @@ def atomic_number(symbol: Column) -> Column:
 def simulator_lines(atoms: DataFrame, cells: DataFrame, keys: list[str], exclude: list[str] = ()) -> DataFrame:
     """Lines of the simulator's structure input: ``keys, line_no, line``; excluded species count in the header only.
 
+    A structure with a symbol that is neither known nor excluded has no lines; :func:`unknown_symbols` lists it.
+
     ``cells``: keys, lx, ly, lz. Lines are rows, so a structure of any size is written in parallel.
     """
+    bad = unknown_symbols(atoms, keys).filter(~F.col("symbol").isin(*exclude) if exclude else F.lit(True)).select(*keys).distinct()
+    atoms, cells = (t.join(bad, keys, "left_anti") for t in (atoms, cells))
     comp = composition(atoms, keys).withColumn("part", F.concat("symbol", F.col("n").cast("string")))
     head = comp.groupBy(*keys).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("first_id", "part"))), lambda s: s["part"]), "").alias("h"), F.sum("n").alias("n"))  # one entry per element
     tab = lambda *c: F.concat_ws("\t", *[v.cast("string") for v in c])

@@ -250,7 +250,7 @@ def augmentation_pipeline(spark, d):
     cfg = {"crop": {"side": [8.0, 12.0], "safe_radius": 2.0}, "noise": {"sigma_jitter_A": 0.1}, "edge_mask": {"prob": 0.1}}
     dr = A.draw_table(g.select("image_id").distinct(), ["image_id"], 1, 17, cfg)
     out = A.stem_pipeline(big, m, dr, ["image_id"], out_size=8, seed=23)
-    return out.groupBy("image_id", "draw").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    return out.groupBy("image_id", "draw").agg(F.count("v").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.max("reason").alias("reason"))
 
 
 @query("c26_segmentation_pipeline")

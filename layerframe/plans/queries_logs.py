@@ -167,7 +167,7 @@ def composition(spark, d):
 def simulator_lines(spark, d):
     a = _atoms(spark, d)
     cells = a.select("structure").distinct().withColumns({"lx": F.lit(40.0), "ly": F.lit(30.0), "lz": F.lit(6.0)})
-    ln = V.simulator_lines(a, cells, ["structure"], ["S"])
+    ln = V.simulator_lines(a, cells, ["structure"], ["S", "Xx"])
     return ln.groupBy("structure").agg(F.count("*").alias("lines"), F.max(F.when(F.col("line_no") == -2, F.col("line"))).alias("header"), F.sum(F.when(F.col("line_no") < 0, F.length("line"))).alias("head_chars"))
 
 

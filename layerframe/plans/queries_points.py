@@ -113,12 +113,15 @@ def dominant_direction(spark, d):
 
 @query("e10_crossing_cycles", f"""WITH {CYC}, e AS (SELECT sample, p0, p1, p2, p3, x0, y0, x1, y1, x2, y2, x3, y3, cx, cy FROM sh),
 eg AS (SELECT sample, p0, p1, p2, p3, x0 AS ax, y0 AS ay, x1 AS bx, y1 AS by FROM e UNION ALL SELECT sample, p0, p1, p2, p3, x1, y1, x2, y2 FROM e UNION ALL SELECT sample, p0, p1, p2, p3, x2, y2, x3, y3 FROM e UNION ALL SELECT sample, p0, p1, p2, p3, x3, y3, x0, y0 FROM e),
+eh AS (SELECT sample, p0+1000000 AS p0, p1+1000000 AS p1, p2+1000000 AS p2, p3+1000000 AS p3, ax+3.1::DOUBLE AS ax, ay+2.3::DOUBLE AS ay, bx+3.1::DOUBLE AS bx, eg.by+2.3::DOUBLE AS by FROM eg),
 pr AS (SELECT a.sample, a.p0, a.p1, a.p2, a.p3, b.p0 AS o0, b.p1 AS o1, b.p2 AS o2, b.p3 AS o3, ((a.bx-a.ax)*(b.by-b.ay)-(a.by-a.ay)*(b.bx-b.ax)) AS den, ((b.ax-a.ax)*(b.by-b.ay)-(b.ay-a.ay)*(b.bx-b.ax)) AS tn, ((b.ax-a.ax)*(a.by-a.ay)-(b.ay-a.ay)*(a.bx-a.ax)) AS un
- FROM eg a JOIN eg b ON a.sample=b.sample AND NOT (a.p0=b.p0 AND a.p1=b.p1 AND a.p2=b.p2 AND a.p3=b.p3) AND len(list_intersect([a.p0,a.p1,a.p2,a.p3],[b.p0,b.p1,b.p2,b.p3])) = 0)
+ FROM eg a JOIN eh b ON a.sample=b.sample)
 SELECT DISTINCT sample, p0, p1, p2, p3, o0, o1, o2, o3 FROM pr WHERE abs(den) >= 1e-12 AND tn/den > 1e-9 AND tn/den < 1-1e-9 AND un/den > 1e-9 AND un/den < 1-1e-9""")
 def crossing_cycles(spark, d):
-    c = cycles(spark, d).withColumn("id", F.struct(*C.VERTS)).withColumn("cell", F.lit(20.0))
-    p = C.crossing_pairs(c, c, ["sample"], "id", "id")
+    # cycles of one layer seldom cross: the layer against its copy moved by a fixed step
+    c = cycles(spark, d).withColumn("cell", F.lit(20.0))
+    moved = c.withColumns({f"{n}{i}": F.col(f"{n}{i}") + step for n, step in (("p", 1000000), ("x", 3.1), ("y", 2.3)) for i in range(4)})
+    p = C.crossing_pairs(*[t.withColumn("id", F.struct(*C.VERTS)) for t in (c, moved)], ["sample"], "id", "id")
     return p.select("sample", *[F.col(f"a.p{i}").alias(f"p{i}") for i in range(4)], *[F.col(f"b.p{i}").alias(f"o{i}") for i in range(4)])
 
 

@@ -127,11 +127,12 @@ def evaluation_long(spark, d):
 
 
 @query("h09_a13_prediction_tables", f"""WITH {T.PAIRS}, p AS (SELECT *, (x0 + x1) * 0.9673063::DOUBLE AS pred FROM pairs)
-SELECT dataset, count(*) AS samples, round(avg(y),6) AS mean_true, round(avg(pred),6) AS mean_pred, round(avg(abs(y-pred)),6) AS mae, round(max(abs(y-pred)),6) AS max_abs_error FROM p GROUP BY dataset""")
+SELECT dataset, count(*) AS sample_count, round(1 - sum(power(y-pred,2)) / (var_pop(y)*count(*)),5) AS r2, round(sqrt(avg(power(y-pred,2))),5) AS rmse, round(avg(abs(y-pred)),5) AS mae,
+ round(avg(CASE WHEN y<>0 THEN abs((y-pred)/y) END)*100,5) AS mape_percent, round(avg(power(y-pred,2)),5) AS mse FROM p GROUP BY dataset""")
 def prediction_summary(spark, d):
     from ..sources.tables import prediction_sheets
 
-    return rounded(prediction_sheets(R.predict_formula(T.pairs(spark, d), "(x0 + x1) * 0.9673063", NAMES, clip=False))["summary"])
+    return rounded(prediction_sheets(R.predict_formula(T.pairs(spark, d), "(x0 + x1) * 0.9673063", NAMES, clip=False))["summary"], 5)
 
 
 @query("h10_pareto_fitted_family", f"""WITH {T.PAIRS}, s AS (SELECT count(*)::DOUBLE AS n, sum(y) AS sy, sum(y*y) AS syy, sum(x0+x1) AS sx, sum((x0+x1)*(x0+x1)) AS sxx, sum((x0+x1)*y) AS sxy,

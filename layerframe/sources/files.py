@@ -70,12 +70,22 @@ def pending_items(items: DataFrame, outputs: DataFrame, force: bool = False) ->
 
 # ---------------------------------------------------------------- images
 
+def _images(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("image").option("dropInvalid", False).option("recursiveFileLookup", "true").load(root).select("image.*")
+
+
+def unreadable_images(spark: SparkSession, root: str) -> DataFrame:
+    """Files under ``root`` that :func:`read_gray` cannot decode: ``image_id, problem``."""
+    return _images(spark, root).filter("height is null or height <= 0").select(F.col("origin").alias("image_id"), F.lit("unreadable").alias("problem"))
+
+
 def read_gray(spark: SparkSession, root: str) -> DataFrame:
     """Gray pixel table of every image under ``root`` by the built-in image source: ``image_id, x, y, v``.
 
-    Colour rows hold BGR bytes and are reduced by luma.
+    Colour rows hold BGR bytes and are reduced by luma. Files that cannot be decoded have no pixels;
+    :func:`unreadable_images` lists them.
     """
-    im = spark.read.format("image").option("dropInvalid", True).option("recursiveFileLookup", "true").load(root).select("image.*")
+    im = _images(spark, root).filter("height > 0")
     # unpack row by row so that the exploded unit is one image row
     n = F.col("nChannels")
     rows = im.withColumn("y", F.explode(F.expr("sequence(0, height - 1)")))
@@ -156,7 +166,8 @@ def audit(files: DataFrame, marker: str, allowed: list[str], config_glob: str =
     """
     parts = F.slice(F.split("rel", "/"), 1, F.size(F.split("rel", "/")) - 1)
     bad_dir = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in FORBIDDEN_DIRS]))
-    suffixes = F.transform(F.slice(F.split(base_name(F.col("rel")), r"\."), 2, 100), lambda s: F.lower(s))
+    pieces = F.split(base_name(F.col("rel")), r"\.")
+    suffixes = F.transform(F.slice(pieces, F.lit(2), F.size(pieces) - 1), lambda s: F.lower(s))
     bad_suffix = F.arrays_overlap(suffixes, F.array(*[F.lit(x) for x in FORBIDDEN_SUFFIXES]))
     rest = F.col("text")
     for a in allowed:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.regress import metric_aggs
+
 # Column orders and decimals of the result files.
 STACKING_COLUMNS = [
     "folder", "img0", "img1", "ok", "class", "is_flip", "handedness_0", "handedness_1", "theta_deg", "theta_method",
@@ -79,11 +81,11 @@ def read_gray_tables(spark: SparkSession, folder: str, layers: int = 2) -> DataF
 
 
 def prediction_sheets(df: DataFrame) -> dict[str, DataFrame]:
-    """The three tables of a prediction export: train rows, test rows, summary per dataset."""
+    """The three tables of a prediction export: train rows, test rows, and per dataset the sample count and the metrics."""
     err = F.abs(F.col("y") - F.col("pred"))
     full = df.withColumn("abs_error", err).withColumn("rel_error", F.when(F.col("y") != 0, err / F.abs("y")))
-    summary = full.groupBy("dataset").agg(
-        F.count("*").alias("samples"), F.avg("y").alias("mean_true"), F.avg("pred").alias("mean_pred"), F.avg("abs_error").alias("mae"), F.max("abs_error").alias("max_abs_error"))
+    metrics = full.groupBy("dataset").agg(*metric_aggs(F.col("y"), F.col("pred")))
+    summary = metrics.select("dataset", F.col("n").alias("sample_count"), "r2", "rmse", "mae", F.col("mape").alias("mape_percent"), "mse")
     return {"train": full.filter("dataset = 'train'"), "test": full.filter("dataset = 'test'"), "summary": summary}
 
 
@@ -95,8 +97,11 @@ def union_growing(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def pivot_log(long: DataFrame, keys: list[str] | None = None, run: list[str] | None = None) -> DataFrame:
-    """Long key/value log -> one row per step with a column per key."""
+def pivot_log(long: DataFrame, keys: list[str] | None = None, run: list[str] | None = None, seq: list[str] | None = None) -> DataFrame:
+    """Long key/value log -> one row per step with a column per key.
+
+    Of a key logged again in a step the row that ``seq`` orders last wins; without ``seq`` the largest value.
+    """
     run = run or ["run", "step"]
     g = long.groupBy(*run)
-    return (g.pivot("key", keys) if keys else g.pivot("key")).agg(F.last("value"))
+    return (g.pivot("key", keys) if keys else g.pivot("key")).agg(F.max_by("value", F.struct(*seq)) if seq else F.max("value"))

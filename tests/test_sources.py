@@ -131,3 +131,32 @@ def test_early_stop_batch(spark):
 def test_metrics_of_a_constant_target(spark):
     df = spark.createDataFrame([("a", 2.0, 2.0), ("a", 2.0, 2.0), ("b", 0.1, 1.0), ("b", 0.1, 0.1), ("c", 1.0, 1.0), ("c", 3.0, 2.0)], "g string, y double, pred double")
     assert {r.g: r.r2 for r in R.evaluate(df, ["g"]).collect()} == {"a": 1.0, "b": 0.0, "c": 0.5}
+
+
+def test_last_value_of_a_repeated_step(spark):
+    from layerframe.operators.evallog import dump_last
+    from layerframe.sources.tables import pivot_log
+
+    log = spark.createDataFrame([("r", 1, "loss", 5.0, 0), ("r", 1, "loss", 2.0, 1), ("r", 2, "loss", 4.0, 3), ("r", 2, "loss", 9.0, 2)], "run string, step int, key string, value double, seq int")
+    assert [r.value for r in dump_last(log, 10, ["seq"]).collect()] == [4.0] and [r.value for r in dump_last(log, 10).collect()] == [9.0]
+    assert [r.loss for r in pivot_log(log, ["loss"], seq=["seq"]).orderBy("step").collect()] == [2.0, 4.0]
+    assert [r.loss for r in pivot_log(log, ["loss"]).orderBy("step").collect()] == [5.0, 9.0]
+
+
+def test_structures_with_unknown_symbols_have_no_lines(spark):
+    from layerframe.operators import variants as V
+
+    atoms = spark.createDataFrame([(s, i, sym, 0.0, 0.0, 0.0) for s in (1, 2) for i, sym in enumerate(["Re", "S", "Xx" if s == 2 else "S"])], "structure int, atom_id int, symbol string, x double, y double, z double")
+    cells = atoms.select("structure").distinct().selectExpr("structure", "4.0 AS lx", "3.0 AS ly", "2.0 AS lz")
+    count = lambda ex: {r.structure: r["count"] for r in V.simulator_lines(atoms, cells, ["structure"], ex).groupBy("structure").count().collect()}
+    assert count(()) == {1: 6} and count(["Xx"]) == {1: 6, 2: 5}
+    assert [(r.structure, r.symbol) for r in V.unknown_symbols(atoms, ["structure"]).collect()] == [(2, "Xx")]
+
+
+def test_unreadable_images_are_listed(spark, tmp_path):
+    from layerframe.sources import files as FS
+
+    (tmp_path / "a.bmp").write_bytes(bytes.fromhex("424d3a000000000000003600000028000000010000000100000001001800000000000400000000000000000000000000000000000000") + b"\x0a\x0a\x0a\x00")
+    (tmp_path / "b.png").write_bytes(b"no image")
+    assert [(r.x, r.y, r.v) for r in FS.read_gray(spark, str(tmp_path)).collect()] == [(0, 0, 10.0)]
+    assert [r.image_id.rsplit("/", 1)[1] for r in FS.unreadable_images(spark, str(tmp_path)).collect()] == ["b.png"]
