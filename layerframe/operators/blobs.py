@@ -59,6 +59,36 @@ def thin_points(points: DataFrame, keys: list[str], distance: float, rank: str,
     return kept.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max_points).drop("_r")
 
 
+def fill_holes(labelled: DataFrame, key: list[str] = KEY) -> tuple[DataFrame, DataFrame]:
+    """Blobs with their holes filled, ``key, label, x, y``, and the labels that lie in a hole of another blob.
+
+    A blob has a hole if its Euler number, from counts of 2 × 2 squares, is below 1; only such blobs are
+    searched. Candidates are the gaps between the pixels of a row; gaps that touch along columns form
+    regions, and a region next to blob pixels only is a hole.
+    """
+    one = [*key, "label"]
+    here = labelled.select(*one, "x", "y")
+    corners = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+    squares = here.withColumn("c", F.explode(corners)).groupBy(*one, (F.col("x") + F.col("c.i")).alias("sx"), (F.col("y") + F.col("c.j")).alias("sy")).agg(
+        F.count("*").alias("n"), F.sum((F.col("c.i") == F.col("c.j")).cast("int")).alias("same"))
+    part = F.when(F.col("n") == 1, 1).when(F.col("n") == 3, -1).when((F.col("n") == 2) & (F.col("same") != 1), -2).otherwise(0)
+    holed = cut(squares.groupBy(*one).agg(F.sum(part).alias("e")).filter("e < 4").select(*one))
+    if holed.isEmpty():
+        return here, here.select(*one).filter(F.lit(False))
+    blob = here.join(holed, one, "left_semi")
+    before = F.lag("x").over(Window.partitionBy(*one, "y").orderBy("x"))
+    gap = blob.withColumn("x0", before + 1).filter("x > x0").withColumn("node", F.struct(*one, "y", "x0"))
+    gap = cut(gap.select(*one, F.explode(F.sequence("x0", F.col("x") - 1)).alias("x"), "y", "node"))
+    near = gap.select(*one, "x", F.explode(F.array(F.col("y") - 1, F.col("y") + 1)).alias("y"), F.col("node").alias("a"))
+    inside = blob.select(*one, "x", "y").unionByName(gap.withColumnRenamed("node", "b"), allowMissingColumns=True).withColumn("inside", F.lit(True))
+    touch = cut(near.join(inside, [*one, "x", "y"], "left").select("a", "b", "inside").distinct())
+    region = cut(connected_labels(gap.select("node").distinct(), touch.filter("b is not null").select("a", "b")).withColumnRenamed("label", "region"))
+    leaks = region.join(touch.filter("inside is null").select(F.col("a").alias("node")).distinct(), "node").select("region").distinct()
+    holes = cut(gap.join(region.join(leaks, "region", "left_anti"), "node").select(*one, "x", "y"))
+    nested = here.withColumnRenamed("label", "inner").join(holes, [*key, "x", "y"]).select(*key, F.col("inner").alias("label")).distinct()
+    return here.unionByName(holes), nested
+
+
 def contour_area(labelled: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Area inside the polygon through the border pixels, by Pick's theorem: n − b/2 − 1 of a hole-free blob.
 
@@ -78,6 +108,7 @@ def detect_atoms(px: DataFrame, key: list[str] = KEY, use_highpass: bool = True,
                  min_distance: float = 5.0, max_points: int | None = None) -> DataFrame:
     """Atom centres of gray images: stretch, high-pass, mean threshold, components, area filter, thinning.
 
+    Blobs count with their holes filled; a blob in a hole of another one is none of its own.
     The area limit is scaled by (min(h, w)/area_ref)². ``(key, pt_id, x, y, area)``. All atoms are kept unless ``max_points`` is given.
     """
     g = min_max(px.select(*key, "x", "y", "v"), key)
@@ -86,6 +117,8 @@ def detect_atoms(px: DataFrame, key: list[str] = KEY, use_highpass: bool = True,
     fg = threshold_mean(g, factor, key).filter("fg")
     lab = cut(components(fg.select(*key, "x", "y"), key))
     size = image_size(px, key).withColumn("lim", min_area * F.pow(F.least("w", "h") / float(area_ref), F.lit(2.0))).select(*key, "lim")
+    filled, nested = fill_holes(lab, key)
+    lab = cut(filled.join(nested, [*key, "label"], "left_anti"))
     s = component_stats(lab, key).join(contour_area(lab, key).select(*key, "label", "poly_area"), [*key, "label"]).join(size, key).filter(F.col("poly_area") > F.col("lim"))
     pts = s.select(*key, F.col("label").alias("pt_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), "area")
     out = thin_points(cut(pts.withColumn("rk", F.col("pt_id"))), key, min_distance, "rk", max_points)

@@ -17,10 +17,10 @@ REASONS = ["missing_image", "too_few_atoms", "bad_nn", "no_candidates", "no_cand
 # ---------------------------------------------------------------- one-dimensional two-means
 
 def two_means(values: DataFrame, keys: list[str], value: str, max_rounds: int = 25) -> DataFrame:
-    """Lloyd's two-means per group, started at the 20 % and 80 % quantiles: ``(keys, c0, c1)``.
+    """Lloyd's two-means per group, started at the 20 % and 80 % quantiles: ``(keys, c0, c1, converged)``.
 
     A round is one aggregate over the rows against a one-row-per-group centre table; it ends when no
-    centre moves, at the latest after ``max_rounds``.
+    centre moves, at the latest after ``max_rounds``; ``converged`` tells which.
     """
     v = cut(values.select(*keys, F.col(value).cast("double").alias("v")))
     q = grouped_quantiles(v, keys, "v", [0.2, 0.8])
@@ -36,12 +36,12 @@ def two_means(values: DataFrame, keys: list[str], value: str, max_rounds: int =
         n = n.select(*keys, F.coalesce("n0", "c0").alias("a0"), F.coalesce("n1", "c1").alias("a1"), "c0", "c1")
         n = n.select(*keys, F.col("a0").alias("c0"), F.col("a1").alias("c1"), ((F.col("a0") != F.col("c0")) | (F.col("a1") != F.col("c1"))).alias("moved"))
         c = cut(c.filter("not moved").unionByName(n))
-    return c.drop("moved")
+    return c.withColumn("converged", ~F.col("moved")).drop("moved")
 
 
 def two_means_labels(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Rows with the label of the nearer centre (1 only when strictly nearer to the second)."""
-    c = two_means(values, keys, value)
+    c = two_means(values, keys, value).drop("converged")
     v = F.col(value)
     return values.join(c, keys).withColumn("label", (F.abs(v - F.col("c1")) < F.abs(v - F.col("c0"))).cast("int"))
 

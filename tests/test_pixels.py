@@ -136,3 +136,23 @@ def test_poisson_noise_does_not_depend_on_partitions(spark):
     counts = one / 99.0 * 900
     z = (counts - rate)[rate > 50] / np.sqrt(rate[rate > 50])
     assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and (counts[rate == 0] == 0).all()
+
+
+def test_holes_are_filled(spark):
+    from layerframe.operators.blobs import component_stats, components, contour_area, fill_holes
+
+    ring = {(x, y) for x in range(7) for y in range(7)} - {(x, y) for x in range(1, 6) for y in range(1, 6)}
+    bay = {(x, y) for x in range(20, 25) for y in range(5)} - {(22, 0), (22, 1), (22, 2)}  # open to the top
+    eight = {(x, y) for x in range(40, 45) for y in range(3)} - {(41, 1), (43, 1)}
+    # the hole is closed by a diagonal contact only
+    loose = {(60, 1), (61, 0), (62, 1), (61, 2)}
+    pixels = ring | {(3, 3)} | bay | eight | loose
+    mask = spark.createDataFrame([(0, x, y) for x, y in pixels], "image_id int, x int, y int")
+    lab = components(mask)
+    filled, nested = fill_holes(lab)
+    area = {r.left: (r.area, r.poly_area) for r in component_stats(filled).join(contour_area(filled), ["image_id", "label"]).collect()}
+    assert area == {0: (49, 36.0), 3: (1, 0.0), 20: (22, area[20][1]), 40: (15, 8.0), 60: (5, 2.0)}
+    assert [(r.label.y, r.label.x) for r in nested.collect()] == [(3, 3)]
+    plain = spark.createDataFrame([(0, x, y) for x, y in bay], "image_id int, x int, y int")
+    filled, nested = fill_holes(components(plain))
+    assert filled.count() == len(bay) and nested.count() == 0
