@@ -87,6 +87,8 @@ def test_two_means(spark):
     for _ in range(25):
         hi = np.abs(x - c1) < np.abs(x - c0)
         c0, c1 = x[~hi].mean(), x[hi].mean()
+    assert c.converged.all()
+    c = c[["c0", "c1"]]
     assert np.allclose(c.loc["a"], [c0, c1]) and np.allclose(c.loc["b"], [2.0, 2.0])
 
 
