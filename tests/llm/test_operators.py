@@ -267,6 +267,40 @@ def test_pitman_yor_is_a_distribution(docs):
     assert 0 < unknown < 1 and abs((10 ** known.score).sum() + unknown - 1) < 1e-6
 
 
+def test_pitman_yor_words_depend_on_those_before(spark):
+    """A held-out text in the order of the training texts scores above the same words shuffled; unseen words have a score after each context."""
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(40)]
+    follow = {w: list(rng.choice(words, 2, replace=False)) for w in words}
+
+    def fluent():
+        out = [str(rng.choice(words))]
+        while len(out) < 60:
+            out.append(str(rng.choice(follow[out[-1]])))
+        return out
+
+    held = fluent()
+    rows = [(i, " ".join(fluent())) for i in range(80)] + [(1000, " ".join(held)), (1001, " ".join(rng.permutation(held))), (1002, "w1 zzz"), (1003, "zzz w1")]
+    got = {r.doc_id: r for r in pitman_yor.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), F.col("doc_id") >= 1000).collect()}
+    assert abs(got[1000].base_score - got[1001].base_score) < 1e-6 and got[1000].score > got[1001].score + 20
+    assert got[1000].score > got[1000].base_score and got[1002].score != got[1003].score
+
+
+def test_pitman_yor_contexts_are_distributions(docs):
+    """In every sample the outcomes after a context, with the one unknown outcome, sum to 1."""
+    order = 2
+    vocabulary = pitman_yor.cut(pitman_yor.count_words(docs).mapInArrow(pitman_yor._with_hash, "word binary, n bigint, hash bigint"))
+    contexts = pitman_yor.Contexts(pitman_yor.cut(pitman_yor.count_grams(docs, order)), order)
+    model = pitman_yor.sample_model(vocabulary, before=contexts)
+    words, unknown = pitman_yor.averaged_words(vocabulary, model)
+    tokens = contexts.levels[2].select("c2", "c1").distinct().limit(40).crossJoin(words.select("hash")).select(F.col("c2").alias("row"), "c1", "c2", "hash")
+    other = tokens.select("row", "c1", "c2").distinct().withColumn("hash", F.lit(-1).cast("long"))
+    every = tokens.unionAll(other).withColumn("row", F.monotonically_increasing_id())
+    every = pitman_yor.cut(every)
+    p = contexts.log_scores(every, words, unknown).join(every, "row").groupBy("c2").agg(F.sum(F.pow(F.lit(10.0), "score")).alias("p")).toPandas().p
+    assert len(p) == 40 and (abs(p - 1) < 1e-6).all()
+
+
 def test_tables_follow_the_process():
     rng = np.random.default_rng(6)
     t = pitman_yor.tables_of(np.full(4000, 200.0), np.full(4000, 3.0), 0.5, rng)
