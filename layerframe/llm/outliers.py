@@ -1,7 +1,7 @@
 """Quality rules by robust multivariate outliers.
 
-Every text gets a vector of transformed statistics. Per language and source the minimum covariance
-determinant is approached by concentration steps: from a robust start, mean and covariance of the
+Every text gets a vector of transformed statistics. Per language and source (small groups: per language,
+or over all documents) the minimum covariance determinant is approached by concentration steps: from a robust start, mean and covariance of the
 half with the smallest Mahalanobis distances are estimated again and again until the determinant no
 longer falls. Documents far from the final estimate are rejected.
 
@@ -28,6 +28,7 @@ P = len(FEATURES)
 LIMIT = 41.0
 CONSISTENCY = 1.9
 HALF, LEAST_GROUP, STEPS = 0.5, 30, 30
+ANY = "any"
 
 
 def _let(value: Column, then) -> Column:
@@ -193,15 +194,25 @@ def reject_outliers(docs: DataFrame, limit: float = LIMIT, least_group: int = LE
 
     The estimates come from the documents that pass the base rules. ``kept`` is false if base_failed,
     else whether the squared Mahalanobis distance from the estimate of the row's language and source is
-    at most ``limit``. Null languages and sources are groups of their own. A group of fewer than
-    ``least_group`` documents that pass has no estimate: ``d2`` is null and they are kept. Repeated rows
-    count as often as they occur. Empty table: no rows. Other columns are not read.
+    at most ``limit``. Null languages and sources are groups of their own. Where fewer than
+    ``least_group`` documents of a language and source pass, the estimate is that of the language over
+    all its sources, and where fewer of the language pass, that of all documents, however few. Repeated
+    rows count as often as they occur. Empty table: no rows. Other columns are not read.
     """
     group = ["g_lang", "g_source"]
-    stats = cut(text_statistics(docs).withColumns(_vector()).withColumns({f"g_{c}": F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string") for c in ("lang", "source")}))
+    named = {f"g_{c}": F.struct(F.col(c).isNull(), F.coalesce(F.col(c).cast("string"), F.lit(""))).cast("string") for c in ("lang", "source")}
+    stats = cut(text_statistics(docs).withColumns(_vector()).withColumns(named))
     passed = stats.filter(~F.col("base_failed")).select(*group, *FEATURES)
-    large = passed.groupBy(*group).agg(F.count("*").alias("n")).filter(F.col("n") >= least_group).select(*group)
-    estimates = robust_estimates(cut(passed.join(large, group, "left_semi"))).drop("m", "log_det", "converged")
-    scored = _distance(stats.join(estimates, group, "left"))
-    kept = ~F.col("base_failed") & F.coalesce(F.col("d2") <= limit, F.lit(True))
+    sizes = stats.groupBy(*group).agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("n"))
+    large = F.sum("n").over(Window.partitionBy("g_lang")) >= least_group
+    # an estimate is named by (language, source), (language, ANY) or (ANY, ANY); a group's own name is a struct in braces, never ANY
+    level = F.when(F.col("n") >= least_group, 0).when(large, 1).otherwise(2)
+    levels = cut(sizes.select(*group, level.alias("level")))
+    named_by = [F.when(F.col("level") < 2, F.col("g_lang")).otherwise(ANY).alias("e_lang"), F.when(F.col("level") < 1, F.col("g_source")).otherwise(ANY).alias("e_source")]
+    used = cut(levels.select(*named_by).distinct())
+    every = F.explode(F.array(F.struct("g_lang", "g_source"), F.struct("g_lang", F.lit(ANY).alias("g_source")), F.struct(F.lit(ANY).alias("g_lang"), F.lit(ANY).alias("g_source"))))
+    wanted = passed.select(every.alias("g"), *FEATURES).select("g.*", *FEATURES).join(used.toDF(*group), group, "left_semi")
+    estimates = robust_estimates(cut(wanted)).drop("m", "log_det", "converged").withColumnsRenamed({"g_lang": "e_lang", "g_source": "e_source"})
+    scored = _distance(stats.join(levels.select(*group, *named_by), group).join(estimates, ["e_lang", "e_source"], "left"))
+    kept = ~F.col("base_failed") & (F.col("d2") <= limit)
     return scored.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(~F.col("base_failed"), F.col("d2")).alias("d2"), kept.alias("kept"))

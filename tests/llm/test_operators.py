@@ -144,6 +144,16 @@ def test_outliers_are_rejected(spark):
     assert got[got.doc_id < 1000].kept.mean() > 0.98 and not got[got.doc_id >= 1000].kept.any()
 
 
+def test_outliers_of_small_groups_are_rejected(spark):
+    """Groups below the least size are judged by their language, small languages by all documents."""
+    rng = np.random.default_rng(4)
+    good = [(i, sentence(rng, int(rng.integers(60, 300))), "en", f"s{i % 12}") for i in range(120)] + [(200 + i, sentence(rng, 100), None if i % 2 else "xx", None) for i in range(8)]
+    bad = [(1000 + i, " ".join(w + "%%%" for w in sentence(rng, 100).split()), ["en", "xx", None][i % 3], f"t{i}") for i in range(9)]
+    got = outliers.reject_outliers(spark.createDataFrame(good + bad, "doc_id bigint, text string, lang string, source string")).toPandas()
+    assert len(got) == len(good) + len(bad) and got[~got.base_failed].d2.notna().all()
+    assert got[got.doc_id < 1000].kept.mean() > 0.95 and not got[got.doc_id >= 1000].kept.any()
+
+
 def test_mcd_against_numpy(spark):
     """The last estimate is the mean and covariance of its own half."""
     rng = np.random.default_rng(2)
