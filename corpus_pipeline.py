@@ -24,9 +24,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates stays; rows without id stay."""
-    gone = setsketch.near_duplicates(docs).filter("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near-duplicate texts stays, whether its rows have ids or not: that with the
+    smallest id, then with the smallest hash of its text, then one of the equal rows. Texts without words all stay."""
+    rows = cut(docs.select(*COLUMNS).withColumns({"row": F.monotonically_increasing_id(), "node": F.xxhash64("text")}))
+    texts = rows.groupBy("node").agg(F.first("text").alias("text")).withColumnRenamed("node", "doc_id")
+    groups = setsketch.near_duplicates(texts).select(F.col("doc_id").alias("node"), "component_id", "n_shingles")
+    placed = cut(rows.select("row", "doc_id", "node").join(groups, "node"))
+    first = placed.filter("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node", "row")).alias("first"))
+    stay = first.select("first.row").unionAll(placed.filter("n_shingles = 0").select("row"))
+    return rows.join(stay, "row", "left_semi").select(*COLUMNS)
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -70,3 +70,16 @@ def test_pipeline(spark):
     before, after = kept["sharding"]
     assert sorted(r.doc_id for r in before) == sorted(r.doc_id for r in after)
     assert all(len(kept[n][1][0]) == 5 for n, _ in corpus_pipeline.STAGES[:-1])
+
+
+def test_near_duplicates_go_by_row(spark):
+    """Rows without id are compared, repeated rows go, and an id with two texts keeps the one that is no copy."""
+    text = {k: [f"{k}{i}" for i in range(60)] for k in "abcde"}
+    plain = {k: " ".join(w) for k, w in text.items()}
+    near = {k: " ".join([*w[:30], "changed", *w[31:]]) for k, w in text.items()}
+    rows = [(None, plain["a"]), (None, near["a"]), (None, plain["a"]), (7, plain["b"]), (7, plain["b"]), (1, plain["c"]), (2, near["c"]), (2, plain["d"]), (None, near["d"]), (None, plain["e"]), (9, near["e"])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = corpus_pipeline.remove_near_duplicates(spark, docs, FOLDER).collect()
+    without_id = [r.text for r in got if r.doc_id is None]
+    assert len(without_id) == 1 and without_id[0] in (plain["a"], near["a"])
+    assert sorted((r.doc_id, r.text) for r in got if r.doc_id is not None) == [(1, plain["c"]), (2, plain["d"]), (7, plain["b"]), (9, near["e"])]
