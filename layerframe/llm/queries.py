@@ -1,10 +1,10 @@
-"""The registered queries of the ten operators: whole tables, production parameters, the agreed columns."""
+"""The registered queries of the operators: whole tables, production parameters, the agreed columns."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language, mixing, outliers, pitman_yor, setsketch, sharding, suffixdedup, urls
+from . import bpe, chat, decontaminate, language, mixing, negatives, outliers, pitman_yor, setsketch, sharding, spelling, suffixdedup, urls
 from .registry import query, table
 
 
@@ -112,3 +112,45 @@ def op5(spark, d):
 @query("op4_suffix_dedup")
 def op4(spark, d):
     return suffixdedup.remove_repeats(table(spark, d, "documents"))
+
+
+@query("op11_hard_negatives", r"""
+WITH r AS (SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, b.vec_id AS id, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score FROM r a JOIN r b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.*, id AS negative_id, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3""")
+def op11(spark, d):
+    rows = negatives.quantise(table(spark, d, "embeddings"))
+    return negatives.mine(rows, F.col("vec_id") % 50 == 0)
+
+
+_LETTER_RUNS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')".replace("\u00C0", "À").replace("\u00FF", "ÿ")
+
+
+@query("op12_spelling_variants", f"""
+WITH RECURSIVE t0 AS (SELECT i, i::UBIGINT AS v FROM range(256) r(i)),
+{_CRC_STEPS},
+tbl AS (SELECT list(v ORDER BY i) AS t FROM t8),
+x AS (SELECT doc, run, count(*) AS n, list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(doc || ':' || run)), '..'), lambda p: ('0x' || p)::UBIGINT)) AS bytes
+  FROM (SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest({_LETTER_RUNS}) AS run FROM documents) GROUP BY doc, run),
+h AS (SELECT run, n, xor(list_reduce(bytes, lambda a, v: xor(a >> 8, t[(xor(a, v) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS h FROM x, tbl),
+w AS (SELECT CASE WHEN h % 97 = 0 THEN run[:(h % length(run))::BIGINT] || run[(h % length(run))::BIGINT + 2:] ELSE run END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1 HAVING length(word) >= 5 AND sum(n) >= 3),
+o AS (SELECT word, n, i, word[:i - 1] || word[i + 1:] AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS m FROM o a JOIN o b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT o.word, w.word, w.n FROM o JOIN w ON o.rest = w.word UNION SELECT w.word, o.word, o.n FROM o JOIN w ON o.rest = w.word),
+best AS (SELECT word, count(*) AS n_near, arg_max(near, m) AS one, max(m) AS m FROM pairs GROUP BY word),
+tie AS (SELECT b.word, b.n_near, b.m, min(p.near) AS near FROM best b JOIN pairs p ON b.word = p.word AND b.m = p.m GROUP BY ALL),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN near END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM w LEFT JOIN tie USING (word)),
+walk AS (SELECT word, word AS here, 0 AS k FROM f UNION ALL SELECT walk.word, f.form, k + 1 FROM walk JOIN f ON f.word = walk.here WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(here, k) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN ends USING (word)""")
+def op12(spark, d):
+    return spelling.group_variants(table(spark, d, "documents"))
+
+
+@query("op13_bpe_round_trip")
+def op13(spark, d):
+    return bpe.digest(bpe.decode_texts(bpe.encode_texts(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "token_ids")))
