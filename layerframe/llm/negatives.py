@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..iterate import cut, global_order
 
 #: Rows of a subtree, of a leaf, children of an inner box, anchors of a block, and slabs per tiled coordinate.
-SUBTREE, LEAF, FAN, ANCHORS, SLABS = 4096, 64, 8, 128, 16
+SUBTREE, LEAF, FAN, ANCHORS, SLABS = 4096, 512, 8, 128, 16
 #: Sums of products up to here are exact as doubles; beyond, Python integers are used.
 EXACT = 1 << 53
 #: Scores are reported as longs; larger ones (components beyond about 2**28) are compared exactly and reported as the bound.
