@@ -7,26 +7,38 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
 from ..iterate import connected_labels, cut, first_independent_set
+from .blocks import BLOCK, gather, label_blocks, map_blocks
 from .pixels import high_pass, image_size, min_max, smooth_mask, threshold_mean
 from .points import radius_pairs
 
 KEY = ["image_id"]
 
 
-def components(mask: DataFrame, key: list[str] = KEY) -> DataFrame:
+def components(mask: DataFrame, key: list[str] = KEY, block: int = BLOCK) -> DataFrame:
     """8-connected components of foreground pixels: adds ``label``, the (y, x) of the first pixel in raster order.
 
-    Pixels are first joined into horizontal runs; only run-to-run contacts enter the component rounds.
+    Blocks are labelled in one array operation each; rounds run only over the contacts between pieces of
+    different blocks, so their number depends on the blocks a component crosses and images of one block need none.
     """
-    w = Window.partitionBy(*key, "y").orderBy("x")
-    d = mask.select(*key, "x", "y").withColumn("_new", (F.coalesce(F.col("x") - F.lag("x").over(w), F.lit(2)) != 1).cast("int"))
-    d = d.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = F.min("x").over(Window.partitionBy(*key, "y", "_run"))
-    d = cut(d.withColumn("node", F.struct(*key, "y", first.alias("x"))).select(*key, "x", "y", "node"))
-    up = d.select(*key, F.explode(F.array(*[F.col("x") + i for i in (-1, 0, 1)])).alias("x"), (F.col("y") + 1).alias("y"), F.col("node").alias("b"))
-    edges = d.select(*key, "x", "y", F.col("node").alias("a")).join(up, [*key, "x", "y"]).select("a", "b").distinct()
-    lab = connected_labels(d.select("node").distinct(), edges)
-    return d.join(lab, "node").select(*key, "x", "y", F.struct(F.col("label.y").alias("y"), F.col("label.x").alias("x")).alias("label"))
+    pieces = cut(map_blocks(gather(mask, key, [], block), key, label_blocks(block), [("x", "int"), ("y", "int"), ("rx", "int"), ("ry", "int")]))
+    node = F.struct(*key, F.col("ry").alias("y"), F.col("rx").alias("x"))
+
+    def steps(*ij: tuple[int, int]) -> Column:
+        return F.array(*[F.struct((F.col("x") + i).alias("x"), (F.col("y") + j).alias("y")) for i, j in ij])
+
+    right, low = F.pmod(F.col("x") + 1, F.lit(block)) == 0, F.pmod(F.col("y") + 1, F.lit(block)) == 0
+    none = F.array().cast("array<struct<x:int,y:int>>")
+    ahead = F.concat(F.when(right, steps((1, -1), (1, 0), (1, 1))).otherwise(none),
+                     F.when(low, steps((-1, 1), (0, 1), (1, 1))).otherwise(none))
+    sides = pieces.filter(right | low).select(*key, node.alias("a"), F.inline(ahead))
+    first = pieces.filter((F.col("x") % block == 0) | (F.col("y") % block == 0)).select(*key, "x", "y", node.alias("b"))
+    contacts = cut(sides.join(first, [*key, "x", "y"]).filter("a <> b").select("a", "b").distinct())
+    if contacts.isEmpty():
+        return pieces.select(*key, "x", "y", F.struct(F.col("ry").alias("y"), F.col("rx").alias("x")).alias("label"))
+    met = contacts.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    lab = connected_labels(met, contacts).select("node", F.struct("label.y", "label.x").alias("label"))
+    own = F.struct(F.col("node.y").alias("y"), F.col("node.x").alias("x"))
+    return pieces.withColumn("node", node).join(lab, "node", "left").select(*key, "x", "y", F.coalesce("label", own).alias("label"))
 
 
 def component_stats(labelled: DataFrame, key: list[str] = KEY) -> DataFrame:

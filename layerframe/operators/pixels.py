@@ -11,13 +11,14 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, hash_normal, hash_uniform
+from ..iterate import cut
+from .blocks import BLOCK, frames, gather, joined, map_blocks
 
 KEY = ["image_id"]
-BLOCK = 256
 
 
 # ---------------------------------------------------------------- sizes and per-image constants
@@ -175,59 +176,30 @@ def apply_crop_plan(px: DataFrame, plan: DataFrame, key: list[str] = KEY) -> Dat
 
 # ---------------------------------------------------------------- neighbourhood filters
 
-def _copies(a: str, n: str, r: int, mode: str) -> Column:
-    """Coordinates at which the pixel shows up once the axis is extended by ``r`` on both sides."""
-    x, w = F.col(a), F.col(n)
-    if mode == "edge":
-        before = F.when(x == 0, F.sequence(F.lit(-r), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        after = F.when(x == w - 1, F.sequence(w.cast("int"), (w + (r - 1)).cast("int"))).otherwise(F.array().cast("array<int>"))
-        return F.concat(before, F.array(x.cast("int")), after)
-    if mode == "zero":
-        return F.array(x.cast("int"))
-    if mode == "reflect":  # the border pixel is repeated, any number of foldings
-
-        def fold(base: Column) -> Column:
-            lo = F.ceil((F.lit(-r) - base) / (2 * w)).cast("int")
-            hi = F.floor((w - 1 + r - base) / (2 * w)).cast("int")
-            seq = F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
-            return F.transform(seq, lambda m: (base + 2 * w * m).cast("int"))
-
-        return F.concat(fold(x), fold(-1 - x))
-    raise ValueError(f"unknown border mode {mode}")
-
-
-def _halo(px: DataFrame, key: list[str], r: int, mode: str, block: int) -> DataFrame:
-    """Pixels laid out on blocks with an ``r``-wide halo; adds bx, by, w, h."""
-    d = px.join(image_size(px, key), key)
-    for a, n, b in (("x", "w", "bx"), ("y", "h", "by")):
-        d = d.withColumn(f"_{a}", F.explode(_copies(a, n, r, mode)))
-        last = F.floor((F.col(n) - 1) / block)
-        lo = F.greatest(F.lit(0), F.floor((F.col(f"_{a}") - r) / block))
-        hi = F.least(last, F.floor((F.col(f"_{a}") + r) / block))
-        d = d.withColumn(b, F.explode(F.sequence(lo, hi)))
-    return d.drop("x", "y").withColumnsRenamed({"_x": "x", "_y": "y"})
-
-
-def _inside(d: DataFrame, block: int, axes: str = "xy") -> DataFrame:
-    """Drop the halo again."""
-    for a, n, b in (("x", "w", "bx"), ("y", "h", "by")):
-        if a in axes:
-            d = d.filter((F.col(a) >= 0) & (F.col(a) < F.col(n)) & (F.floor(F.col(a) / block) == F.col(b)))
-    return d
+def _windowed(a: np.ndarray, weights: list[float]) -> np.ndarray:
+    """Valid part of a separable filter: one array operation per tap and axis."""
+    n = len(weights) - 1
+    h = sum(w * a[:, k:a.shape[1] - n + k] for k, w in enumerate(weights))
+    return sum(w * h[k:h.shape[0] - n + k] for k, w in enumerate(weights))
 
 
 def box_mean(px: DataFrame, values: list[str] | None = None, r: int = 2, mode: str = "edge", key: list[str] = KEY, block: int = BLOCK) -> DataFrame:
-    """(2r+1)² mean of each value column; one shuffle, two running sums."""
+    """(2r+1)² mean of each value column; borders ``edge``, ``reflect`` or ``zero``; a missing pixel or value counts as 0.
+
+    One exchange: pixels go to blocks with their halo, borders are made inside the arrays.
+    """
     values = values or ["v"]
-    d = _halo(px, key, r, mode, block)
-    wx = Window.partitionBy(*key, "bx", "by", "y").orderBy("x").rangeBetween(-r, r)
-    wy = Window.partitionBy(*key, "bx", "by", "x").orderBy("y").rangeBetween(-r, r)
-    base = [*key, "bx", "by", "x", "y", "w", "h"]
-    d = d.select(*base, *[F.sum(v).over(wx).alias(v) for v in values])
-    d = _inside(d, block, "x")
-    d = d.select(*base, *[F.sum(v).over(wy).alias(v) for v in values])
     n = float((2 * r + 1) ** 2)
-    return _inside(d, block, "y").select(*key, "x", "y", *[(F.col(v) / n).alias(v) for v in values])
+
+    def task(bx, by, offsets, x, y, *vs):
+        parts = []
+        for k, f, v in frames(bx, by, offsets, block, r, x, y, *vs):
+            means = [_windowed(f.padded(f.fill(c), mode), [1.0] * (2 * r + 1))[f.at] / n for c in v]
+            parts.append((k, f.x[f.own] + f.x0, f.y[f.own] + f.y0, *means))
+        return joined(parts, 3 + len(values))
+
+    known = px.select(*key, "x", "y", *[F.coalesce(F.col(v).cast("double"), F.lit(0.0)).alias(v) for v in values])
+    return map_blocks(gather(known, key, values, block, r), key, task, [("x", "int"), ("y", "int"), *((v, "double") for v in values)])
 
 
 def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
@@ -237,38 +209,35 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
     return [v / t for v in w]
 
 
+def _convolved(px: DataFrame, weights: list[float], mode: str, key: list[str], block: int) -> DataFrame:
+    """``key, x, y, v, conv`` in one exchange."""
+    w, r = [float(c) for c in weights], len(weights) // 2
+
+    def task(bx, by, offsets, x, y, v):
+        parts = []
+        for k, f, (c,) in frames(bx, by, offsets, block, r, x, y, v):
+            there = np.isfinite(c)
+            g = _windowed(f.padded(f.fill(np.where(there, c, 0.0)), mode), w)
+            if not there.all() or len(c) < f.shape[0] * f.shape[1]:  # missing pixels weigh nothing
+                g = g / np.maximum(_windowed(f.padded(f.fill(there.astype(float)), mode), w), 1e-300)
+            parts.append((k, f.x[f.own] + f.x0, f.y[f.own] + f.y0, c[f.own], g[f.at]))
+        return joined(parts, 5)
+
+    return map_blocks(gather(px, key, ["v"], block, r), key, task, [("x", "int"), ("y", "int"), ("v", "double"), ("conv", "double")])
+
+
 def convolve_separable(px: DataFrame, weights: list[float], mode: str = "reflect", key: list[str] = KEY, block: int = BLOCK) -> DataFrame:
-    """Separable convolution of dense images with an odd kernel, adds ``conv``.
+    """Separable convolution with an odd kernel: ``key, x, y, conv`` at the pixels there are.
 
-    Spark lays the pixels out on halo blocks (at most (block + 2r)² rows each, whatever the image size);
-    a block is one array operation per tap and axis.
+    Spark lays the pixels out on halo blocks of at most (block + 2r)² pixels, whatever the image size. Missing
+    pixels and values that are no numbers weigh nothing: the other weights are scaled up to the same sum.
     """
-    w = np.array(weights)
-    r = len(weights) // 2
-    d = _halo(px.select(*key, "x", "y", "v"), key, r, mode, block).select(*key, "bx", "by", "x", "y", "v")
-    fields = ", ".join(f"`{c}` {px.schema[c].dataType.simpleString()}" for c in key)
-
-    def one_block(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y = pdf["x"].to_numpy(), pdf["y"].to_numpy()
-        x0, y0 = x.min(), y.min()
-        a = np.zeros((y.max() - y0 + 1, x.max() - x0 + 1))
-        a[y - y0, x - x0] = pdf["v"].to_numpy()
-        nx, ny = a.shape[1] - 2 * r, a.shape[0] - 2 * r
-        h = sum(w[k] * a[:, k:k + nx] for k in range(2 * r + 1))
-        g = sum(w[k] * h[k:k + ny] for k in range(2 * r + 1))
-        yy, xx = np.mgrid[y0 + r:y0 + r + ny, x0 + r:x0 + r + nx]
-        out = pd.DataFrame({"x": xx.ravel(), "y": yy.ravel(), "conv": g.ravel()})
-        for c in key:
-            out[c] = pdf[c].iloc[0]
-        return out[[*key, "x", "y", "conv"]]
-
-    return d.groupBy(*key, "bx", "by").applyInPandas(one_block, f"{fields}, x int, y int, conv double")
+    return _convolved(px, weights, mode, key, block).drop("v")
 
 
 def high_pass(px: DataFrame, sigma: float = 6.0, key: list[str] = KEY, block: int = BLOCK) -> DataFrame:
-    """Subtract a Gaussian background, shift the minimum to 0 and divide by the maximum."""
-    bg = convolve_separable(px, gaussian_weights(sigma), "reflect", key, block)
-    d = px.join(bg, [*key, "x", "y"]).withColumn("v", F.col("v") - F.col("conv")).drop("conv")
+    """Subtract a Gaussian background, shift the minimum to 0 and divide by the maximum: ``key, x, y, v``."""
+    d = cut(_convolved(px, gaussian_weights(sigma), "reflect", key, block).select(*key, "x", "y", (F.col("v") - F.col("conv")).alias("v")))
     d = _with(d, key, F.min("v").alias("_lo"), F.max("v").alias("_hi"))
     top = F.col("_hi") - F.col("_lo")
     v = F.col("v") - F.col("_lo")
@@ -276,11 +245,22 @@ def high_pass(px: DataFrame, sigma: float = 6.0, key: list[str] = KEY, block: in
 
 
 def smooth_mask(px: DataFrame, rounds: int = 1, thresh: float = 0.5, key: list[str] = KEY, block: int = BLOCK) -> DataFrame:
-    """Min-max, threshold (≥), then ``rounds`` times a zero-padded 3×3 mean with re-threshold."""
+    """Min-max, threshold (≥), then ``rounds`` times a zero-padded 3×3 mean with re-threshold; missing pixels count as 0.
+
+    All rounds run inside one block, with a halo as wide as there are rounds.
+    """
     d = min_max(px, key, eps=1e-300).select(*key, "x", "y", (F.col("v") >= thresh).cast("double").alias("v"))
-    for _ in range(rounds):
-        d = box_mean(d, r=1, mode="zero", key=key, block=block).withColumn("v", (F.col("v") >= thresh).cast("double"))
-    return d.withColumn("v", F.col("v").cast("int"))
+
+    def task(bx, by, offsets, x, y, v):
+        parts = []
+        for k, f, (c,) in frames(bx, by, offsets, block, rounds, x, y, v):
+            a, there = (f.padded(f.fill(s), "zero") for s in (c, np.ones(len(c))))
+            for i in range(1, rounds + 1):
+                a = (_windowed(a, [1.0] * 3) / 9.0 >= thresh) * there[i:there.shape[0] - i, i:there.shape[1] - i]
+            parts.append((k, f.x[f.own] + f.x0, f.y[f.own] + f.y0, a[f.at].astype(np.int32)))
+        return joined(parts, 4)
+
+    return map_blocks(gather(d, key, ["v"], block, rounds), key, task, [("x", "int"), ("y", "int"), ("v", "int")])
 
 
 # ---------------------------------------------------------------- tiles
