@@ -43,3 +43,12 @@ def hash_normal(seed: int, *cols: str | Column) -> Column:
     """Reproducible standard normal from a row key (Box–Muller)."""
     u = F.greatest(hash_uniform(seed, *cols), F.lit(1e-300))
     return F.sqrt(-2.0 * F.log(u)) * F.cos(2.0 * math.pi * hash_uniform(seed + 7919, *cols))
+
+
+def order_key(v: Column) -> Column:
+    """A long that orders doubles as their values do: the bit pattern of a number from 0 up, mirrored below; NaN comes last.
+
+    Null is taken as 0. A formula from powers of two gives the same and is so long that the JVM leaves it uncompiled.
+    """
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.coalesce(v, F.lit(0.0))).cast("long")
+    return F.when(bits < 0, F.lit(-(1 << 63)) - bits).otherwise(bits)

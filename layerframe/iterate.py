@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions.numeric import order_key
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder of the session; a private one only for local masters."""
@@ -160,48 +162,76 @@ def hash_order(df: DataFrame, key: list[str], seed: int = 0, out: str = "rn", bi
     )
 
 
-def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float], bins: int = 1024) -> DataFrame:
-    """Exact linear-interpolated quantiles per group: columns ``keys…, q0, q1, …``.
+#: Rows of a histogram bin that are ranked as they are; fuller bins are split by the next bits. Bits of a level.
+RANKED, LEVEL = 1 << 16, 16
+
+
+def _alike(a: DataFrame, b: DataFrame, cols: list[str]) -> Column:
+    on = F.lit(True)
+    for c in cols:
+        on = on & a[c].eqNullSafe(b[c])
+    return on
 
-    Counts per value-range bin locate the bins that hold the wanted ranks; only those bins are ranked,
-    over distinct values with their multiplicity, so a group of any size is never gathered in one task.
+
+def ranked_bins(df: DataFrame, keys: list[str], value: str, ranks: Callable[[Column], list[Column]]) -> tuple[DataFrame, DataFrame]:
+    """(bins, rows): where the wanted 0-based ranks of each group lie, and the distinct values of those bins.
+
+    ``ranks`` gives the wanted ranks from the group's number of values. Bins are prefixes of the order-preserving
+    bit pattern, so their width follows the values and an outlier takes nothing from the others: one partial
+    aggregate counts the first bits, and only bins that hold a wanted rank and more than `RANKED` rows are split
+    by the next bits, down to single values if need be. ``bins``: keys…, _b, _before, _below (count and sum of the
+    values before the bin), _n; ``rows``: the same and _v, _c (value and count), _start (rank of the first one).
+    Null values are left out.
     """
     v = F.col(value).cast("double")
-    d = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull())
-    vals = d.groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    span = vals.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_c").alias("_n"))
-    if not keys:
-        joined = vals.crossJoin(F.broadcast(span))  # one summary row
-    else:
-        joined = vals.join(span, keys)
-    width = F.col("_hi") - F.col("_lo")
-    binned = joined.withColumn(
-        "_bin", F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0).cast("int")
-    )
-    per_bin = binned.groupBy(*keys, "_bin", "_n").agg(F.sum("_c").alias("_bc"))
-    w = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    cum = per_bin.withColumn("_before", F.coalesce(F.sum("_bc").over(w), F.lit(0)))
-    hit = F.lit(False)
-    pos = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
-    for p in pos:
-        for r in (F.floor(p), F.ceil(p)):
-            hit = hit | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_bc")))
-    wanted = cum.filter(hit).select(*keys, "_bin", "_before")
-    w2 = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (
-        binned.join(wanted, [*keys, "_bin"])
-        .withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(w2), F.lit(0)))
-    )
+    d = df.filter(v.isNotNull()).select(*keys, v.alias("_v"), order_key(v).alias("_k"))
+
+    def hits(counted: DataFrame, parent: list[str]) -> DataFrame:
+        w = Window.partitionBy(*keys, *parent).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        h = counted.withColumns({"_before": F.col("_base") + F.coalesce(F.sum("_c").over(w), F.lit(0)), "_below": F.col("_under") + F.coalesce(F.sum("_s").over(w), F.lit(0.0))})
+        wanted = F.lit(False)
+        for r in ranks(F.col("_n")):
+            wanted = wanted | ((F.col("_before") <= r) & (r < F.col("_before") + F.col("_c")))
+        return cut(h.filter(wanted).select(*keys, "_b", "_before", "_below", "_c", "_n"))
+
+    shift = 64 - LEVEL
+    first = d.groupBy(*keys, F.shiftright("_k", shift).alias("_b")).agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"))
+    first = first.withColumns({"_n": F.sum("_c").over(Window.partitionBy(*keys)), "_base": F.lit(0), "_under": F.lit(0.0)})
+    found = hits(first, [])
+    while shift and (found.agg(F.max("_c")).first()[0] or 0) > RANKED:
+        outer = found.withColumnsRenamed({"_b": "_p", "_before": "_base", "_below": "_under"}).drop("_c")
+        inner = d.join(outer, _alike(d, outer, keys) & (F.shiftright(d["_k"], shift) == outer["_p"])).select(*[d[c] for c in keys], "_p", "_base", "_under", "_n", "_v", "_k")
+        shift -= LEVEL
+        found = hits(inner.groupBy(*keys, "_p", "_base", "_under", "_n", F.shiftright("_k", shift).alias("_b")).agg(F.count("*").alias("_c"), F.sum("_v").alias("_s")), ["_p"])
+    bins = found.drop("_c")
+    rows = d.join(bins, _alike(d, bins, keys) & (F.shiftright(d["_k"], shift) == bins["_b"])).select(*[d[c] for c in keys], "_b", "_before", "_below", "_n", "_v")
+    rows = rows.groupBy(*rows.columns).agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    return bins, rows.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_c").over(w), F.lit(0)))
+
+
+def grouped_quantiles(df: DataFrame, keys: list[str], value: str, probs: list[float]) -> DataFrame:
+    """Exact linear-interpolated quantiles per group: columns ``keys…, q0, q1, …``; null values are left out.
+
+    Only values of the bins that hold the wanted ranks are ranked (see `ranked_bins`), with their
+    multiplicity, so a group of any size and any spread is never gathered in one task.
+    """
+
+    def places(n: Column) -> list[Column]:
+        return [F.lit(float(p)) * (n - 1) for p in probs]
+
+    _, rows = ranked_bins(df, keys, value, lambda n: [f(p) for p in places(n) for f in (F.floor, F.ceil)])
 
     def at(r: Column) -> Column:
         return F.max(F.when((F.col("_start") <= r) & (r < F.col("_start") + F.col("_c")), F.col("_v")))
 
+    pos = places(F.col("_n"))
     aggs = []
     for i, p in enumerate(pos):
         aggs += [at(F.floor(p)).alias(f"_f{i}"), at(F.ceil(p)).alias(f"_g{i}")]
-    res = ranked.groupBy(*keys, "_n").agg(*aggs)
+    res = rows.groupBy(*keys, "_n").agg(*aggs)
     out = []
     for i, p in enumerate(pos):
-        frac = p - F.floor(p)
-        out.append((F.col(f"_f{i}") + (F.col(f"_g{i}") - F.col(f"_f{i}")) * frac).alias(f"q{i}"))
+        lo, hi = F.col(f"_f{i}"), F.col(f"_g{i}")
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (p - F.floor(p))).alias(f"q{i}"))
     return res.select(*keys, *out)

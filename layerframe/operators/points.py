@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..iterate import cut, grouped_quantiles
+from ..iterate import cut, grouped_quantiles, ranked_bins
 
 
 def _near(cells: list[Column]) -> Column:
@@ -155,30 +155,18 @@ def legacy_rescale(points: DataFrame, keys: list[str], scale: Column | float = 4
     return points.join(top, keys).withColumn("x", F.col("x") * f).withColumn("y", F.col("y") * f).drop("_m")
 
 
-def trimmed_mean(values: DataFrame, keys: list[str], value: str, trim: float, min_keep: int, order_id: list[str] | None = None) -> DataFrame:
+def trimmed_mean(values: DataFrame, keys: list[str], value: str, trim: float, min_keep: int) -> DataFrame:
     """Mean of the smallest max(min_keep, ⌊n(1−t)⌋) values per group, t clamped to 0..0.49: ``(keys, n, score)``.
 
-    Exact without sorting a group in one task: a histogram over the group's range finds the bin with
-    the cut; whole bins below it enter by sum and only the cut bin is ranked.
+    Exact without sorting a group in one task: the bin with the cut is found by its bits, bins below it enter
+    by their sum and only the cut bin is ranked, over distinct values. NaN counts as the largest value.
     """
-    bins = 256
     t = max(0.0, min(0.49, trim))
-    v = values.select(*keys, F.col(value).cast("double").alias("_v"))
-    span = v.groupBy(*keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("n"))
-    span = span.withColumn("_keep", F.least(F.col("n"), F.greatest(F.lit(min_keep), F.floor(F.col("n") * F.lit(1.0 - t)))))
-    width = F.col("_hi") - F.col("_lo")
-    b = v.join(span, keys).withColumn(
-        "_b", F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / width * bins))).otherwise(0).cast("int"))
-    per = b.groupBy(*keys, "_b").agg(F.count("*").alias("_c"), F.sum("_v").alias("_s"), F.first("n").alias("n"), F.first("_keep").alias("_keep"))
-    w = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_before", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    whole = per.filter(F.col("_before") + F.col("_c") <= F.col("_keep")).select(*keys, "n", "_keep", F.col("_s").alias("_part"))
-    cutbin = per.filter((F.col("_before") < F.col("_keep")) & (F.col("_before") + F.col("_c") > F.col("_keep"))).select(*keys, "_b", "_before")
-    # equal values are folded first, so a run of ties is one row
-    wr = Window.partitionBy(*keys, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    folded = b.join(cutbin, [*keys, "_b"]).groupBy(*keys, "_b", "_before", "n", "_keep", "_v").agg(F.count("*").alias("_c"))
-    start = F.col("_before") + F.coalesce(F.sum("_c").over(wr), F.lit(0))
-    take = F.greatest(F.lit(0), F.least(F.col("_c"), F.col("_keep") - start))
-    part = folded.withColumn("_take", take).select(*keys, "n", "_keep", (F.col("_v") * F.col("_take")).alias("_part"))
-    return whole.unionByName(part).groupBy(*keys, "n", "_keep").agg(F.sum("_part").alias("_t")).select(
-        *keys, "n", (F.col("_t") / F.col("_keep")).alias("score"))
+
+    def keep(n: Column) -> Column:
+        return F.least(n, F.greatest(F.lit(min_keep), F.floor(n * F.lit(1.0 - t))))
+
+    _, rows = ranked_bins(values, keys, value, lambda n: [keep(n) - 1])
+    taken = F.greatest(F.lit(0), F.least(F.col("_c"), keep(F.col("_n")) - F.col("_start")))
+    g = rows.groupBy(*keys, "_n", "_below").agg(F.sum(F.when(taken > 0, F.col("_v") * taken)).alias("_t"))
+    return g.select(*keys, F.col("_n").alias("n"), ((F.col("_below") + F.col("_t")) / keep(F.col("_n"))).alias("score"))
