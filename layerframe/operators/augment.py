@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import hash_uniform
 from ..iterate import cut, global_order
 from . import pixels as P
-from .points import nearest
+from .distance import distance_map
 
 # Default ranges of the augmentation parameters; a pair is drawn uniformly, a number is taken as is.
 DEFAULTS = {
@@ -68,23 +68,22 @@ def safe_centers(mask: DataFrame, draws: DataFrame, key: list[str], seed: int, d
     """Crop centre per draw: mask pixels at least half a side from the border and farther than safe_radius from the mask's zeros.
 
     Without one, the radius falls back to half the side. ``mask``: key, x, y, v (> 0.5 is safe ground);
-    ``draws``: key, draw, side, safe_radius. Distances are exact, by the neighbour join. A draw without any
+    ``draws``: key, draw, side, safe_radius. Distances are exact and made once per mask. A draw without any
     centre has null ``cx`` and ``cy`` and the ``reason`` no_safe_center.
     """
-    size = P.image_size(mask, key)
-    zero = mask.filter("v <= 0.5").select(*key, F.struct("y", "x").alias("pt_id"), "x", "y")
-    on = mask.filter("v > 0.5").select(*key, "x", "y", F.struct("y", "x").alias("q"))
-    far = nearest(on.select(*key, "q", "x", "y"), zero, key, key, ["q"]).select(*key, F.col("q.x").alias("x"), F.col("q.y").alias("y"), "d")
-    # masks without zeros are safe everywhere
-    free = on.join(zero.select(*key).distinct(), key, "left_anti").select(*key, "x", "y", F.lit(float("inf")).alias("d"))
-    cand = cut(far.unionByName(free).join(size, key))
+    return centers_by_distance(distance_map(mask, key), draws, key, seed, draw)
+
+
+def centers_by_distance(distances: DataFrame, draws: DataFrame, key: list[str], seed: int, draw: str = "draw") -> DataFrame:
+    """`safe_centers` from a distance map ``key, x, y, d``: a uniform pick by hash among the pixels allowed."""
+    d = cut(distances)
+    j = d.join(P.image_size(d, key), key).join(draws.select(*key, draw, "side", "safe_radius"), key)
     half = F.floor(F.col("side") / 2)
-    j = cand.join(draws.select(*key, draw, "side", "safe_radius"), key)
     j = j.filter((F.col("x") >= half) & (F.col("x") < F.col("w") - half) & (F.col("y") >= half) & (F.col("y") < F.col("h") - half))
     strict = F.col("d") > F.col("safe_radius")
     j = j.filter(strict | (F.col("d") > F.col("side") / 2.0))
-    # strict candidates first, then a uniform pick by hash
-    o = F.struct((~strict).alias("s"), F.xxhash64(F.lit(seed), *key, draw, "x", "y").alias("h"))
+    # strict candidates first; the hash is one that other engines have too
+    o = F.struct((~strict).alias("s"), F.md5(F.concat_ws("/", F.lit(seed), *key, draw, "x", "y")).alias("h"))
     picked = j.groupBy(*key, draw).agg(F.min_by(F.struct("x", "y"), o).alias("c"))
     found = draws.select(*key, draw).join(picked, [*key, draw], "left")
     return found.select(*key, draw, F.col("c.x").alias("cx"), F.col("c.y").alias("cy"), F.when(F.col("c").isNull(), "no_safe_center").alias("reason"))
@@ -109,15 +108,17 @@ def stem_pipeline(images: DataFrame, masks: DataFrame, draws: DataFrame, key: li
     d = cut(draws.join(P.image_size(images, key), key))
     on = lambda group, value, other: F.when(F.col(f"{group}_enabled"), F.col(value)).otherwise(F.lit(other))
     px = images.join(d.select(*k2), key).select(*k2, "x", "y", "v")
-    mk = masks.join(d.filter("crop_enabled").select(*k2), key).select(*k2, "x", "y", "v")
+    # distances are made once per mask; every draw turns them with its image
+    far = cut(distance_map(masks.join(d.filter("crop_enabled").select(*key).distinct(), key, "left_semi"), key))
+    mk = far.join(d.filter("crop_enabled").select(*k2), key).select(*k2, "x", "y", F.col("d").alias("v"))
     warp = d.select(*k2, "w", "h", corner_jitter(seed, k2, on("perspective", "perspective_max_ratio", 0.0), F.col("w"), F.col("h")).alias("q"))
     px = P.perspective(px, warp, "bilinear", "reflect101", k2)
     turn = d.select(*k2, "w", "h", on("rotate", "rotate_range", 0.0).alias("angle"))
     px = cut(P.rotate(px, turn, "bilinear", "reflect101", key=k2))
     mk = P.rotate(mk, turn.join(d.filter("crop_enabled").select(*k2), k2), "nearest", "reflect101", key=k2)
     want = d.filter("crop_enabled").select(*k2, F.col("crop_side").alias("side"), F.col("crop_safe_radius").alias("safe_radius"))
-    # image and draw together are the key here: every draw has its own turned mask
-    c = cut(safe_centers(mk, want.withColumn("_d", F.lit(0)), k2, seed, "_d").drop("_d"))
+    # image and draw together are the key here: every draw has its own turned distances
+    c = cut(centers_by_distance(mk.withColumnRenamed("v", "d"), want.withColumn("_d", F.lit(0)), k2, seed, "_d").drop("_d"))
     lost = c.filter("reason is not null").select(*k2, "reason")
     half = F.floor(F.col("side") / 2)
     win = want.join(c.filter("reason is null"), k2).select(*k2, F.col("side").alias("cw"), F.col("side").alias("ch"), (F.col("cx") - half).cast("int").alias("left"), (F.col("cy") - half).cast("int").alias("top"))

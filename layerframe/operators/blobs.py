@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import half_even
-from ..iterate import connected_labels, cut, first_independent_set
+from ..iterate import connected_labels, cut
 from .blocks import BLOCK, gather, label_blocks, map_blocks
 from .pixels import high_pass, image_size, min_max, smooth_mask, threshold_mean
-from .points import radius_pairs
+from .wavefront import settle
 
 KEY = ["image_id"]
 
@@ -62,9 +62,7 @@ def drop_small(labelled: DataFrame, min_pixels: int = 20, key: list[str] = KEY)
 
 def thin_points(points: DataFrame, keys: list[str], distance: float, rank: str, max_points: int | None = None) -> DataFrame:
     """Keep a point unless a kept earlier one (by unique ``rank``) is closer than ``distance``; first ``max_points`` per group."""
-    pairs = radius_pairs(points, distance, keys, strict=True)
-    nodes = points.withColumnRenamed("pt_id", "node")
-    kept = first_independent_set(nodes, pairs.select(*keys, F.col("i").alias("a"), F.col("j").alias("b")), keys, rank).withColumnRenamed("node", "pt_id")
+    kept = settle(points, keys, distance, rank)
     if max_points is None:
         return kept
     w = Window.partitionBy(*keys).orderBy(rank)
@@ -145,9 +143,14 @@ def leader_clusters(points: DataFrame, keys: list[str], radius: float) -> DataFr
     """
     p = points.withColumn("rk", F.struct("y", "x", "pt_id"))
     lead = cut(thin_points(p, keys, radius, "rk"))
-    pairs = radius_pairs(points, radius, keys, strict=True)
-    both = pairs.select(*keys, F.col("i").alias("pt_id"), F.col("j").alias("o")).unionByName(pairs.select(*keys, F.col("j").alias("pt_id"), F.col("i").alias("o")))
-    own = both.join(lead.select(*keys, F.col("pt_id").alias("o"), "rk"), [*keys, "o"]).groupBy(*keys, "pt_id").agg(F.min("rk").alias("lead"))
+    # leaders are a radius apart, so a point meets a few of them only
+    cell = lambda c: F.floor(F.col(c) / radius)
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    reach = lead.select(*keys, "rk", F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(steps).alias("s"))
+    reach = reach.select(*keys, "rk", "lx", "ly", (F.floor(F.col("lx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("ly") / radius) + F.col("s.j")).alias("cy"))
+    dx, dy = F.col("x") - F.col("lx"), F.col("y") - F.col("ly")
+    near = points.select(*keys, "pt_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).join(reach, [*keys, "cx", "cy"]).filter(dx * dx + dy * dy < radius * radius)
+    own = near.groupBy(*keys, "pt_id").agg(F.min("rk").alias("lead"))
     member = p.join(own, [*keys, "pt_id"], "left").join(lead.select(*keys, "pt_id", F.lit(True).alias("_l")), [*keys, "pt_id"], "left")
     member = member.withColumn("lead", F.when(F.col("_l"), F.col("rk")).otherwise(F.col("lead")))
     g = member.groupBy(*keys, "lead").agg(F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"))
