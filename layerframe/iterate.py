@@ -59,7 +59,7 @@ def first_independent_set(nodes: DataFrame, conflicts: DataFrame, key: list[str]
     """The set a serial loop would keep: visit by ``rank``, keep a node unless a kept one conflicts with it.
 
     ``nodes``: key columns (the group first), node id ``node`` and a unique ``rank`` per group.
-    ``conflicts``: symmetric pairs ``key…, a, b``. Per round a node is kept when no undecided
+    ``conflicts``: pairs ``key…, a, b``, in either direction or both. Per round a node is kept when no undecided
     neighbour ranks before it; neighbours of kept nodes drop out. Conflict lists are only joined and
     aggregated, never collected.
     """
@@ -67,9 +67,10 @@ def first_independent_set(nodes: DataFrame, conflicts: DataFrame, key: list[str]
     ca = rk.withColumnsRenamed({"node": "a", rank: "ra"})
     cb = rk.withColumnsRenamed({"node": "b", rank: "rb"})
     # direct every pair from the earlier to the later node
+    ordered = F.col("ra") < F.col("rb")
     edges = cut(
         conflicts.select(*key, "a", "b").distinct().join(ca, key + ["a"]).join(cb, key + ["b"])
-        .filter(F.col("ra") < F.col("rb")).select(*key, "a", "b")
+        .select(*key, F.when(ordered, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ordered, F.col("b")).otherwise(F.col("a")).alias("b")).filter("a <> b").distinct()
     )
     state = nodes.withColumn("status", F.lit(0))  # 0 undecided, 1 kept, 2 dropped
 

@@ -167,8 +167,8 @@ def shard_number(rows: DataFrame, order: list[str], n: int) -> DataFrame:
 
 
 def numeric_sort(files: DataFrame, name: str = "name") -> DataFrame:
-    """Order files by the number their stem holds."""
-    return files.withColumn("num", stem(F.col(name)).try_cast("bigint")).orderBy("num")
+    """Files with the number that their stem holds, ``num``, and their place in that order, ``pos``; names without a number come first."""
+    return global_order(files.withColumn("num", stem(F.col(name)).try_cast("bigint")), ["num", name], "pos")
 
 
 def resume_steps(files: DataFrame, ema_rate: str = "0.9999") -> DataFrame:

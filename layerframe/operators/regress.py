@@ -48,7 +48,7 @@ def valid_trilayer(stack: DataFrame, key: list[str]) -> DataFrame:
 
 def sample_per_stack(pixels: DataFrame, key: list[str], n: int = 400, seed: int = 21) -> DataFrame:
     """At most n pixels per stack without replacement, in hash order (reproducible)."""
-    h = F.xxhash64(F.lit(seed), *key, "x", "y")
+    h = F.md5(F.concat_ws("/", F.lit(seed), *key, "x", "y"))
     w = Window.partitionBy(*key).orderBy(h, "x", "y")
     return pixels.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 

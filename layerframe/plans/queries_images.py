@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.numeric import r6
@@ -20,7 +21,7 @@ def center_crop(spark, d):
     return rounded(P.center_crop(T.gray(spark, d), 6, 4))
 
 
-@query("c01_pad_then_crop", f"WITH {T.GRAY}, g AS (SELECT DISTINCT image_id, a AS x, b AS y FROM gray, (SELECT unnest(generate_series(0, 10)) AS a), (SELECT unnest(generate_series(0, 5)) AS b)) SELECT g.image_id, g.x, g.y, round(coalesce(v, 0),6) AS v FROM g LEFT JOIN gray p ON p.image_id=g.image_id AND p.x=g.x-1 AND p.y=g.y+1")
+@query("c01_pad_then_crop", f"WITH {T.GRAY}, g AS (SELECT vec_id AS image_id, a AS x, b AS y, a - 1 AS px, b + 1 AS py FROM embeddings, (SELECT unnest(generate_series(0, 10)) AS a), (SELECT unnest(generate_series(0, 5)) AS b)) SELECT g.image_id, g.x, g.y, round(coalesce(v, 0),6) AS v FROM g LEFT JOIN gray p ON p.image_id=g.image_id AND p.x=g.px AND p.y=g.py")
 def pad_crop(spark, d):
     return rounded(P.pad_center_crop(T.gray(spark, d), 11, 6))
 
@@ -30,7 +31,9 @@ def box_crop(spark, d):
     return rounded(P.crop(T.gray(spark, d), F.lit(2), F.lit(3), 5, 3))
 
 
-@query("c03_random_crop")
+@query("c03_random_crop", f"""WITH {T.GRAY}, s AS (SELECT vec_id AS image_id, floor({T.uniform(7, "vec_id")} * 7)::INT + 4 AS side, {T.uniform(8, "vec_id")} AS ux, {T.uniform(9, "vec_id")} AS uy FROM embeddings),
+p AS (SELECT image_id, side, floor(ux * (greatest(0, 8 - side) + 1))::INT - greatest(0, side - 8) // 2 AS l, floor(uy * (greatest(0, 8 - side) + 1))::INT - greatest(0, side - 8) // 2 AS t FROM s)
+SELECT p.image_id, any_value(side * side)::BIGINT AS n, any_value(side - 1)::BIGINT AS mx, round(max(v), 6) AS mv FROM p JOIN gray g ON g.image_id = p.image_id AND x >= l AND x < l + side AND y >= t AND y < t + side GROUP BY p.image_id""")
 def random_crop(spark, d):
     g = T.gray(spark, d)
     out = P.apply_crop_plan(g, P.random_crop_plan(P.image_size(g), 4, 10, 7))
@@ -96,7 +99,7 @@ def blend(spark, d):
     return rounded(P.blend_tiles(_tiles(spark, d), 4, ["v"]))
 
 
-@query("c10_resize_nearest", f"WITH {T.GRAY}, g AS (SELECT DISTINCT image_id, a AS x, b AS y FROM gray, (SELECT unnest(generate_series(0, 4)) AS a), (SELECT unnest(generate_series(0, 11)) AS b)) SELECT g.image_id, g.x, g.y, round(v,6) AS v FROM g JOIN gray p ON p.image_id=g.image_id AND p.x=floor(g.x*1.6::DOUBLE) AND p.y=floor(g.y*(8.0/12.0)::DOUBLE)")
+@query("c10_resize_nearest", f"WITH {T.GRAY}, g AS (SELECT vec_id AS image_id, a AS x, b AS y, a * 8 // 5 AS px, b * 8 // 12 AS py FROM embeddings, (SELECT unnest(generate_series(0, 4)) AS a), (SELECT unnest(generate_series(0, 11)) AS b)) SELECT g.image_id, g.x, g.y, round(v,6) AS v FROM g JOIN gray p ON p.image_id=g.image_id AND p.x=g.px AND p.y=g.py")
 def resize_nearest(spark, d):
     return rounded(P.resize(T.gray(spark, d), 5, 12, "nearest"))
 
@@ -107,7 +110,17 @@ def resize_bilinear(spark, d):
     return rounded(P.resize(T.gray(spark, d), 5, 16, "bilinear"), 5)
 
 
-@query("c10_resize_bicubic")
+def _cubic_sql(name: str, n: int, t: int) -> str:
+    """Taps (o, s, k) of one axis: output place, source place, weight over the sum of weights."""
+    r, fs = n / t, max(1.0, n / t)
+    d = f"abs((s - (o + 0.5) * {r}::DOUBLE + 0.5) / {fs}::DOUBLE)"
+    k = f"CASE WHEN {d} < 1 THEN (1.5 * {d} - 2.5) * {d} * {d} + 1 WHEN {d} < 2 THEN -0.5 * ((({d} - 5) * {d} + 8) * {d} - 4) ELSE 0 END"
+    inside = f"s >= floor((o + 0.5) * {r}::DOUBLE - 2 * {fs}::DOUBLE + 0.5) AND s < floor((o + 0.5) * {r}::DOUBLE + 2 * {fs}::DOUBLE + 0.5)"
+    return f"{name} AS (SELECT o, s, k / sum(k) OVER (PARTITION BY o) AS k FROM (SELECT o, s, {k} AS k FROM (SELECT unnest(generate_series(0, {t - 1})) AS o), (SELECT unnest(generate_series(0, {n - 1})) AS s) WHERE {inside}))"
+
+
+@query("c10_resize_bicubic", f"""WITH {T.GRAY}, {_cubic_sql("tx", 8, 5)}, {_cubic_sql("ty", 8, 16)}, h AS (SELECT image_id, o AS x, y, sum(k * v) AS v FROM gray JOIN tx ON x = s GROUP BY image_id, o, y)
+SELECT image_id, x, o AS y, round(sum(k * v), 5) AS v FROM h JOIN ty ON y = s GROUP BY image_id, x, o""")
 def resize_bicubic(spark, d):
     return rounded(P.resize(T.gray(spark, d), 5, 16, "bicubic"), 5)
 
@@ -180,11 +193,21 @@ def noise(spark, d):
     return n.groupBy("image_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"), F.stddev("v").alias("std_v"))
 
 
-@query("c19_scan_jitter")
+def _bilinear_sql(place: str) -> str:
+    """Sampling of gray at g(image_id, x, y, sx, sy), borders mirrored without repeating the edge."""
+    fold = lambda c: f"least((({c}) % 14 + 14) % 14, 14 - (({c}) % 14 + 14) % 14)"
+    return f"""{place}, t AS (SELECT image_id, x, y, {fold("floor(sx)::BIGINT + i")} AS px, {fold("floor(sy)::BIGINT + j")} AS py, (CASE i WHEN 1 THEN sx - floor(sx) ELSE 1 - (sx - floor(sx)) END) * (CASE j WHEN 1 THEN sy - floor(sy) ELSE 1 - (sy - floor(sy)) END) AS k
+  FROM g, (SELECT unnest([0, 1]) AS i), (SELECT unnest([0, 1]) AS j)), s AS (SELECT t.image_id, t.x, t.y, sum(k * v) AS v FROM t JOIN gray p ON p.image_id = t.image_id AND p.x = px AND p.y = py GROUP BY t.image_id, t.x, t.y)"""
+
+
+_SHAKEN = f"""g AS (SELECT image_id, x, y, x - {T.normal(6, "image_id", "y")} * 0.8::DOUBLE * sin(2 * pi() * 60 * y * 8e-4::DOUBLE + 1.5707963::DOUBLE) AS sx, y - {T.normal(5, "image_id", "y")} * 0.8::DOUBLE * sin(2 * pi() * 60 * y * 8e-4::DOUBLE) AS sy FROM gray)"""
+
+
+@query("c19_scan_jitter", f"WITH {T.GRAY}, {_bilinear_sql(_SHAKEN)} SELECT image_id, count(*) AS n, round(avg(v), 5) AS mean_v FROM s GROUP BY image_id")
 def scan_jitter(spark, d):
     g = T.gray(spark, d)
     plan = P.image_size(g).withColumns({"sigma_px": F.lit(0.8), "row_time": F.lit(8e-4), "freq": F.lit(60.0), "phase_x": F.lit(0.0), "phase_y": F.lit(1.5707963)})
-    return P.scan_jitter(g, plan, 5).groupBy("image_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v"))
+    return rounded(P.scan_jitter(g, plan, 5).groupBy("image_id").agg(F.count("*").alias("n"), F.avg("v").alias("mean_v")), 5)
 
 
 @query("c20_flip_and_turn", f"WITH {T.GRAY} SELECT image_id, CASE image_id % 4 WHEN 1 THEN y WHEN 2 THEN x WHEN 3 THEN 7-y ELSE 7-x END AS x, CASE image_id % 4 WHEN 1 THEN x WHEN 2 THEN 7-y WHEN 3 THEN 7-x ELSE y END AS y, round(v,6) AS v FROM gray")
@@ -195,30 +218,85 @@ def flip_and_turn(spark, d):
     return rounded(P.rot90(f.withColumn("t", F.col("image_id") % 4), s, F.col("t")).select("image_id", "x", "y", "v"))
 
 
-@query("c20_rotate_90_equals_turn", f"WITH {T.GRAY} SELECT image_id, x, y, round(v, 4) AS v FROM gray")
-def rotate_and_back(spark, d):
+# a quarter turn about (4, 4) moves pixels to the turned place one row lower; row 0 mirrors the frame's inside
+@query("c20_rotate_90_equals_turn", f"WITH {T.GRAY} SELECT image_id, y AS x, CASE WHEN x = 6 AND k = 1 THEN 0 ELSE 8 - x END AS y, round(v, 4) AS v FROM gray, (SELECT unnest([0, 1]) AS k) WHERE (k = 0 AND x > 0) OR (k = 1 AND x = 6)")
+def rotate_quarter(spark, d):
     g = T.gray(spark, d)
-    s = P.image_size(g)
-    # a quarter turn about (4, 4) misses row 0; a half turn of the unit homography leaves the frame alone
-    q = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (7, 0), (7, 7), (0, 7))])
-    return rounded(P.perspective(g, s.withColumn("q", q)), 4)
+    return rounded(P.rotate(g, P.image_size(g).withColumn("angle", F.lit(90.0))), 4)
+
+
+_TILTED = """g AS (SELECT image_id, x, y, cos(radians(30.0)) * (x - 4) - sin(radians(30.0)) * (y - 4) + 4 AS sx, sin(radians(30.0)) * (x - 4) + cos(radians(30.0)) * (y - 4) + 4 AS sy FROM gray)"""
+
+
+@query("c20_rotate_30", f"WITH {T.GRAY}, {_bilinear_sql(_TILTED)} SELECT image_id, x, y, round(v, 4) AS v FROM s")
+def rotate_30(spark, d):
+    g = T.gray(spark, d)
+    return rounded(P.rotate(g, P.image_size(g).withColumn("angle", F.lit(30.0))), 4)
+
+
+QUAD = ((0.6, -0.4), (7.3, 0.5), (6.2, 7.4), (-0.5, 6.1))
+
+
+def _quad_sql() -> str:
+    """Source places of the warp that moves the corners to QUAD: the inverse of the map solved from four point pairs."""
+    corners = ((0, 0), (7, 0), (7, 7), (0, 7))
+    rows = [r for (u, v), (x, y) in zip(corners, QUAD, strict=True) for r in ([u, v, 1, 0, 0, 0, -u * x, -v * x], [0, 0, 0, u, v, 1, -u * y, -v * y])]
+    m = np.linalg.inv(np.r_[np.linalg.solve(np.array(rows), np.array(QUAD).ravel()), 1.0].reshape(3, 3))
+    line = lambda k: f"({m[k, 0]!r}::DOUBLE * x + {m[k, 1]!r}::DOUBLE * y + {m[k, 2]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::")
+    return f"g AS (SELECT image_id, x, y, {line(0)} / {line(2)} AS sx, {line(1)} / {line(2)} AS sy FROM gray)"
 
 
-@query("c21_edge_mask")
+@query("c20_perspective_quad", f"WITH {T.GRAY}, {_bilinear_sql(_quad_sql())} SELECT image_id, x, y, round(v, 4) AS v FROM s")
+def perspective_quad(spark, d):
+    g = T.gray(spark, d)
+    q = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in QUAD])
+    return rounded(P.perspective(g, P.image_size(g).withColumn("q", q)), 4)
+
+
+def _edge_sql(seed: int) -> str:
+    """Pixels outside the four cubics of an 8 × 8 frame."""
+    nodes = [0.1 + i * (0.8 / 3.0) for i in range(4)]
+
+    def curve(s: int, t: str) -> str:
+        terms = []
+        for i in range(4):
+            factors = " * ".join(f"({t} / 8.0::DOUBLE - {nodes[j]!r}::DOUBLE) / {nodes[i] - nodes[j]!r}::DOUBLE" for j in range(4) if j != i)
+            terms.append(f"({T.uniform(seed + 10 * s + 1 + i, 'image_id')} * 0.15::DOUBLE + 0.15::DOUBLE) * 8 * {factors}")
+        return f"({' + '.join(terms)})"
+
+    on = [f"{T.uniform(seed + 10 * s, 'image_id')} < 0.5::DOUBLE" for s in range(4)]
+    sides = (f"x < {curve(0, 'y')}", f"x > 8 - {curve(1, 'y')}", f"y < {curve(2, 'x')}", f"y > 8 - {curve(3, 'x')}")
+    return " OR ".join(f"({o} AND {s})" for o, s in zip(on, sides, strict=True))
+
+
+@query("c21_edge_mask", f"WITH {T.GRAY}, e AS (SELECT image_id, CASE WHEN {_edge_sql(11)} THEN {T.uniform(110, 'image_id', 'x', 'y')} * 0.05::DOUBLE ELSE v / 255.0 END AS v FROM gray) SELECT image_id, count(*) AS n, count(*) FILTER (v <= 0.05::DOUBLE) AS dark, round(avg(v), 6) AS mean_v FROM e GROUP BY image_id")
 def edge_mask(spark, d):
     g = T.gray(spark, d).withColumn("v", F.col("v") / 255.0)
-    return P.edge_mask(g, P.image_size(g), 0.5, 0.0, 0.05, 11).groupBy("image_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("v") <= 0.05, 1)).alias("dark"))
+    e = P.edge_mask(g, P.image_size(g), 0.5, 0.0, 0.05, 11)
+    return rounded(e.groupBy("image_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("v") <= 0.05, 1)).alias("dark"), F.avg("v").alias("mean_v")))
+
 
+def _drawn(group: str, name: str) -> str:
+    """SQL of one parameter of the draw table with seed 5."""
+    at = 1 + [(g, n) for g, p in A.DEFAULTS.items() for n in p].index((group, name))
+    lo, hi = A.DEFAULTS[group][name]
+    return f"{lo!r}::DOUBLE + {T.uniform(5 + at, 'vec_id', 'draw')} * {hi - lo!r}::DOUBLE"
 
-@query("c22_draw_table", "SELECT vec_id, draw, true AS side_even, true AS in_range, 0.0 AS bias FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS draw)")
+
+@query("c22_draw_table", f"""WITH d AS (SELECT vec_id, draw, round_even({_drawn("crop", "side")}, 0)::BIGINT AS side, {_drawn("rotate", "range")} AS angle, {_drawn("noise", "dwell_time_s")} AS dwell, {_drawn("perspective", "max_ratio")} AS warp, {T.uniform(1006, "vec_id", "draw")} < 0.01::DOUBLE AS carbon
+  FROM embeddings, (SELECT unnest(generate_series(0, 2)) AS draw))
+SELECT vec_id, draw, greatest(2, side + side % 2) AS side, round(angle, 6) AS angle, round(dwell * 1e6, 6) AS dwell_us, round(warp, 6) AS warp, carbon, 0.0::DOUBLE AS bias, 1.0::DOUBLE AS gamma FROM d""")
 def draw_table(spark, d):
     im = T.table(spark, d, "embeddings").select("vec_id")
     t = A.draw_table(im, ["vec_id"], 3, 5, disable=("display",))
-    ok = F.col("crop_side").between(372, 744) & F.col("rotate_range").between(0, 360) & F.col("noise_dwell_time_s").between(1e-6, 3e-6)
-    return t.select("vec_id", "draw", (F.col("crop_side") % 2 == 0).alias("side_even"), ok.alias("in_range"), F.col("display_bias").alias("bias"))
+    return rounded(t.select("vec_id", "draw", F.col("crop_side").alias("side"), F.col("rotate_range").alias("angle"), (F.col("noise_dwell_time_s") * 1e6).alias("dwell_us"), F.col("perspective_max_ratio").alias("warp"),
+                            F.col("carbon_enabled").alias("carbon"), F.col("display_bias").alias("bias"), F.col("display_gamma").alias("gamma")))
 
 
-@query("c23_safe_centers")
+@query("c23_safe_centers", f"""WITH {T.GRAY}, m AS (SELECT image_id, x, y, (v - min(v) OVER w) / (max(v) OVER w - min(v) OVER w) > 0.1 AS safe FROM gray WINDOW w AS (PARTITION BY image_id)),
+f AS (SELECT a.image_id, a.x, a.y, coalesce(min(sqrt((a.x - z.x) * (a.x - z.x) + (a.y - z.y) * (a.y - z.y))), 1e300::DOUBLE) AS d FROM m a LEFT JOIN (SELECT * FROM m WHERE NOT safe) z ON z.image_id = a.image_id GROUP BY a.image_id, a.x, a.y),
+c AS (SELECT image_id, x, y, row_number() OVER (PARTITION BY image_id ORDER BY d <= 1.5, md5(concat_ws('/', 3, image_id, 0, x, y))) AS k FROM f WHERE x BETWEEN 2 AND 5 AND y BETWEEN 2 AND 5 AND (d > 1.5 OR d > 2.0))
+SELECT e.vec_id AS image_id, 0::BIGINT AS draw, c.x AS cx, c.y AS cy, CASE WHEN c.x IS NULL THEN 'no_safe_center' END AS reason FROM embeddings e LEFT JOIN c ON c.image_id = e.vec_id AND k = 1""")
 def safe_centers(spark, d):
     g = P.min_max(T.gray(spark, d)).withColumn("v", F.when(F.col("v") > 0.1, 1.0).otherwise(0.0))
     draws = g.select("image_id").distinct().withColumns({"draw": F.lit(0), "side": F.lit(4), "safe_radius": F.lit(1.5)})
@@ -234,12 +312,12 @@ def processing_size(spark, d):
     return rounded(s.select("p_partkey", *[v.alias(k) for k, v in c.items()]))
 
 
-@query("c25_sample_pairs", "SELECT count(*) AS n, true AS all_known FROM embeddings")
+@query("c25_sample_pairs", f"""WITH o AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS ordinal, count(*) OVER () AS n FROM embeddings), d AS (SELECT range AS draw, floor({T.uniform(9, "range")} * (SELECT count(*) FROM embeddings))::BIGINT AS ordinal FROM range((SELECT count(*) FROM embeddings)))
+SELECT draw, vec_id FROM d JOIN o USING (ordinal)""")
 def sample_pairs(spark, d):
     e = T.table(spark, d, "embeddings").select("vec_id")
     n = e.count()
-    s = A.sample_pairs(e, ["vec_id"], n, 9)
-    return s.agg(F.count("*").alias("n"), (F.min("vec_id") >= 0).alias("all_known"))
+    return A.sample_pairs(e, ["vec_id"], n, 9).select("draw", "vec_id")
 
 
 @query("c26_augmentation_pipeline")
@@ -301,13 +379,26 @@ def detect_atoms(spark, d):
     return rounded(B.detect_atoms(T.gray(spark, d), factor=1.2, min_area=2000.0, min_distance=2.0), 5)
 
 
-@query("d05_thin_points")
+def _serial_sql(source: str, group: str, order: str, radius: str) -> str:
+    """Recursive form of the serial loop: one point of every group a step, with the list of points kept so far."""
+    return f"""o AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY {order}) AS k FROM {source}),
+walk AS (SELECT {group} AS grp, 0::BIGINT AS k, []::STRUCT(x DOUBLE, y DOUBLE, id BIGINT)[] AS kept FROM (SELECT DISTINCT {group} FROM o)
+ UNION ALL SELECT grp, w.k + 1, CASE WHEN len(list_filter(kept, lambda p: (p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y) < {radius} * {radius})) = 0 THEN list_append(kept, {{'x': o.x, 'y': o.y, 'id': o.k}}) ELSE kept END FROM walk w JOIN o ON o.{group} = w.grp AND o.k = w.k + 1),
+leads AS (SELECT grp, unnest(arg_max(kept, k), recursive := true) FROM walk GROUP BY grp)"""
+
+
+@query("d05_thin_points", f"""WITH RECURSIVE {T.PTS}, {_serial_sql("pts", "sample", "y, x, pt_id", "25.0::DOUBLE")}
+SELECT o.sample, layer, pt_id, round(o.x, 6) AS x, round(o.y, 6) AS y FROM leads l JOIN o ON o.sample = l.grp AND o.k = l.id""")
 def thin_points(spark, d):
     p = T.pts(spark, d).withColumn("rk", F.struct("y", "x", "pt_id"))
-    return rounded(B.thin_points(p, ["sample"], 25.0, "rk", 4000).drop("rk"))
+    return rounded(B.thin_points(p, ["sample"], 25.0, "rk").drop("rk"))
+
 
+_LED = """b AS (SELECT o.image_id, o.x, o.y, min(l.id) AS lead FROM o JOIN leads l ON l.grp = o.image_id AND (l.x - o.x) * (l.x - o.x) + (l.y - o.y) * (l.y - o.y) < 9 GROUP BY o.image_id, o.x, o.y),
+led AS (SELECT image_id, count(*) AS n, round_even(avg(y), 0)::BIGINT AS row, round_even(avg(x), 0)::BIGINT AS col FROM b GROUP BY image_id, lead)"""
 
-@query("d06_leader_clusters")
+
+@query("d06_leader_clusters", f"WITH RECURSIVE {T.MASK}, {_serial_sql('mask', 'image_id', 'y, x', '3.0::DOUBLE')}, {_LED} SELECT image_id, n, row, col FROM led")
 def leader_clusters(spark, d):
     m = T.mask(spark, d).select("image_id", F.struct("y", "x").alias("pt_id"), "x", "y")
     return rounded(B.leader_clusters(m, ["image_id"], 3.0).drop("leader"))
@@ -319,7 +410,11 @@ def instances_connected(spark, d):
     return rounded(B.instances(g, min_pixels=2, max_pixels=30))
 
 
-@query("d07_instances_convolution")
+_SMOOTHED = f"""a AS (SELECT image_id, x, y, CASE WHEN v > 1.05 * avg(v) OVER (PARTITION BY image_id) THEN 1.0 ELSE 0.0 END AS v FROM gray), m1 AS ({box_sql(1, False).format(t='a')}),
+sm AS (SELECT image_id, x, y FROM m1 WHERE v >= 0.5)"""
+
+
+@query("d07_instances_convolution", f"WITH RECURSIVE {T.GRAY}, {_SMOOTHED}, {_serial_sql('sm', 'image_id', 'y, x', '3.0::DOUBLE')}, {_LED} SELECT image_id, row, col, n AS area FROM led")
 def instances_convolution(spark, d):
     g = P.threshold_mean(T.gray(spark, d), 1.05).select("image_id", "x", "y", F.col("fg").cast("int").alias("v"))
     return rounded(B.instances(g, mode="convolution", radius=3.0))

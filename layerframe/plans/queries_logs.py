@@ -140,11 +140,12 @@ def _atoms(spark, d):
 ATM = """atm AS (SELECT label AS structure, vec_id AS atom_id, CASE vec_id % 3 WHEN 0 THEN 'Re' WHEN 1 THEN 'S' ELSE 'Xx' END AS symbol, (CAST(embedding[1] AS DOUBLE)+0.5)*40 AS x, (CAST(embedding[2] AS DOUBLE)+0.5)*30 AS y, (CAST(embedding[3] AS DOUBLE)+0.5)*6 AS z FROM embeddings)"""
 
 
-@query("g02_g03_displaced_and_defective")
+@query("g02_g03_displaced_and_defective", f"""WITH {ATM} SELECT structure, symbol, count(*) AS n, round(avg(x + 0.1::DOUBLE * {T.normal(5, "structure", "atom_id")}), 6) AS mean_x, round(avg(z + 0.1::DOUBLE * {T.normal(7, "structure", "atom_id")}), 6) AS mean_z FROM atm
+WHERE symbol <> 'S' OR {T.uniform(6, "structure", "atom_id")} >= 0.2::DOUBLE GROUP BY structure, symbol""")
 def displaced(spark, d):
     a = V.thermal(_atoms(spark, d), F.lit(0.1), 5, ["structure", "atom_id"])
     a = V.vacancies(a, F.create_map(F.lit("S"), F.lit(0.2)), 6, ["structure", "atom_id"])
-    return a.groupBy("structure", "symbol").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"))
+    return rounded(a.groupBy("structure", "symbol").agg(F.count("*").alias("n"), F.avg("x").alias("mean_x"), F.avg("z").alias("mean_z")))
 
 
 @query("g04_stacked_layers", f"""WITH {ATM}, sw AS (SELECT i*0.1::DOUBLE AS mx, j*0.1::DOUBLE AS my, l AS layer FROM (SELECT unnest([-32, 0]) AS i), (SELECT unnest([-28, 0]) AS j), (SELECT unnest([1, 2]) AS l))

@@ -75,7 +75,8 @@ def valid_trilayer(spark, d):
     return rounded(R.valid_trilayer(s, ["stack"]))
 
 
-@query("h03_sample_400_per_stack")
+@query("h03_sample_400_per_stack", f"""WITH {T.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws('/', 21, grp, l_orderkey, l_linenumber)), l_orderkey, l_linenumber) AS k FROM pairs)
+SELECT grp, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct, round(avg(y), 6) AS mean_t FROM r WHERE k <= 400 GROUP BY grp""")
 def sample_400(spark, d):
     p = T.pairs(spark, d).select("grp", F.col("l_orderkey").alias("x"), F.col("l_linenumber").alias("y"), F.col("y").alias("t"))
     return rounded(R.sample_per_stack(p, ["grp"], 400).groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct("x", "y").alias("n_distinct"), F.avg("t").alias("mean_t")))
@@ -324,10 +325,8 @@ def shards(spark, d):
 
 @query("b09_numeric_sort", "SELECT p_partkey, p_partkey AS num, row_number() OVER (ORDER BY p_partkey) - 1 AS pos FROM part")
 def numeric_sort(spark, d):
-    from ..iterate import global_order
-
     p = T.table(spark, d, "part").select("p_partkey", F.concat(F.col("p_partkey").cast("string"), F.lit(".png")).alias("name"))
-    return global_order(p.withColumn("num", K.stem(F.col("name")).try_cast("bigint")), ["num"], "pos").select("p_partkey", "num", "pos")
+    return K.numeric_sort(p).select("p_partkey", "num", "pos")
 
 
 @query("b10_resume_steps", """

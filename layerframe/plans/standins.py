@@ -142,6 +142,16 @@ PAIRS = """pairs AS (SELECT l_orderkey, l_linenumber, l_returnflag AS grp, l_qua
   CASE WHEN l_orderkey % 5 = 0 THEN 'test' ELSE 'train' END AS dataset FROM lineitem)"""
 
 
+def uniform(seed: int, *cols: str) -> str:
+    """SQL of `hash_uniform`."""
+    return f"(('0x' || substr(md5(concat_ws('/', {', '.join([str(seed), *cols])})), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def normal(seed: int, *cols: str) -> str:
+    """SQL of `hash_normal`."""
+    return f"(sqrt(-2.0 * ln(greatest({uniform(seed, *cols)}, 1e-300::DOUBLE))) * cos(2.0 * pi() * {uniform(seed + 7919, *cols)}))"
+
+
 def log(spark: SparkSession, d: str) -> DataFrame:
     """Training log: run = user, step = event id, key = event type."""
     return table(spark, d, "events").select(

@@ -103,3 +103,14 @@ def test_centres_are_safe_and_draws_without_one_say_so(spark):
             t = radius if allowed[0].any() else side / 2
             assert d[r.cy, r.cx] > t and half <= r.cx < 40 - half and half <= r.cy < 40 - half and r.reason is None
     assert len({(r.cx, r.cy) for r in got if r.draw < 2}) > 1
+
+
+def test_conflicts_count_in_either_direction(spark):
+    """A pair whose later node is named first is a conflict too."""
+    from layerframe.iterate import first_independent_set
+
+    nodes = spark.createDataFrame([(0, n, -n) for n in range(6)], "g int, node int, at int")
+    pairs = spark.createDataFrame([(0, n, n + 1) for n in range(5)], "g int, a int, b int")
+    turned = pairs.selectExpr("g", "b a", "a b")
+    for df in (pairs, turned, pairs.union(turned)):
+        assert sorted(r.node for r in first_independent_set(nodes, df, ["g"], "at").collect()) == [1, 3, 5]
