@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from . import textcore as T
 
 BITS = 16
+#: Letters, and numbers that are no digits, such as fractions; `has_letter` tells them apart.
 _LETTER = re.compile(r"[^\W\d_]")
 _IN_WORD = np.zeros(256, bool)
 _IN_WORD[97:123] = _IN_WORD[0x80:] = True
@@ -131,6 +132,10 @@ class Model:
         return share, chosen
 
 
+def has_letter(text: str) -> bool:
+    return any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 PREDICTED = "lang_pred string, score double, langs array<string>"
 
 
@@ -146,7 +151,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
     ``lang_pred``: the language with the largest share, first by name if equal; ``und`` with score 0 for
     a null text, a text without a letter, or a model without languages. ``langs``: the chosen set, by
     share. A text with letters but no word of [a-z] or beyond ASCII cannot occur: all letters are one or
-    the other. Repeated rows get equal results.
+    the other. Repeated rows get equal results; an empty table gives no rows.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
     out = docs.select(*[c for c in keep if c != "text"], "text")
@@ -164,7 +169,7 @@ def predict(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
                 texts = _lowered(part.column(len(kept) - 1))
                 share, chosen = m.shares(texts)
                 best = share.argmax(1) if m.langs else np.zeros(len(texts), int)
-                letters = [bool(m.langs) and _LETTER.search(t) is not None for t in texts]
+                letters = [bool(m.langs) and has_letter(t) for t in texts]
                 names = [m.langs[k] if ok else "und" for k, ok in zip(best, letters, strict=True)]
                 score = [float(min(1.0, share[i, best[i]])) if ok else 0.0 for i, ok in enumerate(letters)]
                 sets = [[m.langs[k] for k in np.argsort(-share[i], kind="stable") if chosen[i, k]] if ok else [] for i, ok in enumerate(letters)]

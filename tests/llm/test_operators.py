@@ -248,6 +248,8 @@ def test_language(spark, docs, empty):
     mixed = next(r for r in got if r[0] == 202 and r[1] == "zc")
     assert 0.6 < mixed[2] < 0.73 and mixed[3] == ["zc", "xa"]
     assert language.predict(empty, model).count() == 0
+    odd = spark.createDataFrame(list(enumerate(["½", "² ⅷ ①", "12 _ 34", "½ a", "ß"])), "doc_id int, text string")
+    assert [r.lang_pred == "und" for r in language.predict(odd, model).orderBy("doc_id").collect()] == [True, True, True, False, False]
     assert {r.lang_pred for r in language.predict(docs, language.Model([])).collect()} == {"und"}
 
 
