@@ -16,7 +16,7 @@ from .distance import distance_map
 DEFAULTS = {
     "elastic": {"alpha_ratio": [0.0, 0.2], "sigma_ratio": 0.05},
     "perspective": {"max_ratio": [0.0, 0.015]},
-    "carbon": {"prob": 0.01, "cover": [0.3, 0.7], "alpha": [0.3, 0.5], "sigma_mask": 100.0, "sigma_field": 100.0, "coarse_down": 100.0, "focus_center": [0.1, 0.9],
+    "carbon": {"prob": 0.01, "cover": [0.3, 0.7], "alpha": [0.3, 0.5], "sigma_mask": 100.0, "sigma_field": 100.0, "coarse_down": 100.0, "focus_center_x": [0.1, 0.9], "focus_center_y": [0.1, 0.9],
                "focus_radius_ratio": [0.3, 0.7], "focus_gain": 5.0, "morph_kernel": 11.0, "morph_iter": 1.0},
     "rotate": {"range": [0.0, 360.0]},
     "crop": {"side": [372.0, 744.0], "safe_radius": 372.0},

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import half_even
 from ..iterate import connected_labels, cut
 from .blocks import BLOCK, gather, label_blocks, map_blocks
-from .pixels import high_pass, image_size, min_max, smooth_mask, threshold_mean
+from .pixels import high_pass, image_size, resize, min_max, smooth_mask, threshold_mean
 from .wavefront import settle
 
 KEY = ["image_id"]
@@ -196,6 +196,17 @@ def merge_layers(inst0: DataFrame, inst1: DataFrame, keys: list[str]) -> tuple[D
     return m, c
 
 
+def merge_masks(mask0: DataFrame, mask1: DataFrame, keys: list[str], **how) -> tuple[DataFrame, DataFrame]:
+    """`merge_layers` of the instances of two dense 0/1 masks; the second one is brought to the frame of the first by nearest pixels.
+
+    ``how`` goes to `instances`. Images that have one mask only give the markers of that one.
+    """
+    frame = image_size(mask0, keys).withColumnsRenamed({"w": "w0", "h": "h0"})
+    own = image_size(mask1, keys).join(frame, keys, "left").withColumns({"w0": F.coalesce("w0", "w"), "h0": F.coalesce("h0", "h")})
+    moved = resize(mask1, F.col("w0"), F.col("h0"), "nearest", keys, own)
+    return merge_layers(instances(mask0, keys, **how), instances(moved, keys, **how), keys)
+
+
 def disc_offsets(radius: int) -> Column:
     """Array of the (i, j) inside a disc."""
     r = range(-radius, radius + 1)

@@ -441,6 +441,19 @@ def merged_layers(spark, d):
     return rounded(c)
 
 
+#: Second masks of a pair are cropped to 6 × 6 and brought back to the frame of the first.
+TWO = CC.replace("ix AS (SELECT image_id, x, y, y*8+x AS id FROM mask)", """two AS (SELECT * FROM mask WHERE image_id % 2 = 0 UNION ALL SELECT image_id, a.x, b.y FROM mask m JOIN (SELECT unnest(generate_series(0, 7)) AS x) a ON m.x = a.x * 6 // 8 + 1
+ JOIN (SELECT unnest(generate_series(0, 7)) AS y) b ON m.y = b.y * 6 // 8 + 1 WHERE image_id % 2 = 1), ix AS (SELECT image_id, x, y, y*8+x AS id FROM two)""")
+
+
+@query("d10_merged_masks", f"WITH {TWO} SELECT image_id // 2 AS pair, (image_id % 2)::BIGINT AS layer, round_even(cy, 0)::BIGINT AS row, round_even(cx, 0)::BIGINT AS col FROM st WHERE area >= 2")
+def merged_masks(spark, d):
+    g = P.threshold_mean(T.gray(spark, d), 1.05).select(F.floor(F.col("image_id") / 2).alias("pair"), "image_id", "x", "y", F.col("fg").cast("int").alias("v"))
+    small = P.crop(g.filter("image_id % 2 = 1"), F.lit(1), F.lit(1), 6, 6)
+    m, _ = B.merge_masks(g.filter("image_id % 2 = 0").drop("image_id"), small.drop("image_id"), ["pair"], min_pixels=2)
+    return rounded(m.select("pair", "layer", "row", "col"))
+
+
 @query("d10_marker_raster", f"WITH {CC}, o AS (SELECT i, j FROM (SELECT unnest(generate_series(-1,1)) AS i), (SELECT unnest(generate_series(-1,1)) AS j) WHERE i*i+j*j <= 1), m AS (SELECT DISTINCT image_id//2 AS pair, (image_id%2)::INT AS layer, round_even(cx,0)::BIGINT+i AS x, round_even(cy,0)::BIGINT+j AS y FROM st, o) SELECT pair, layer, count(*) AS n FROM m WHERE x BETWEEN 0 AND 7 AND y BETWEEN 0 AND 7 GROUP BY ALL")
 def marker_raster(spark, d):
     s = B.component_stats(_lab(spark, d)).withColumn("pair", F.floor(F.col("image_id") / 2))
