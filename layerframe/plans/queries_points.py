@@ -251,10 +251,10 @@ def stacking_class(spark, d):
 
 
 @query("e23_trimmed_mean", """WITH v AS (SELECT o_custkey % 50 AS grp, o_totalprice AS v, row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_custkey % 50) AS n FROM orders)
-SELECT grp, n, round(avg(v), 4) AS score FROM v WHERE r <= least(n, greatest(120, floor(n * 0.8::DOUBLE))) GROUP BY grp, n""")
+SELECT grp, n, round(avg(v), 6) AS score FROM v WHERE r <= least(n, greatest(120, floor(n * 0.8::DOUBLE))) GROUP BY grp, n""")
 def trimmed_mean(spark, d):
     o = T.table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("grp"), F.col("o_totalprice").alias("v"))
-    return rounded(P.trimmed_mean(o, ["grp"], "v", 0.2, 120), 4)
+    return rounded(P.trimmed_mean(o, ["grp"], "v", 0.2, 120))
 
 
 @query("e24_shift_search", f"""WITH {T.PTS}, s1 AS (SELECT dx, dy FROM (SELECT unnest(generate_series(-16, 16, 8)) AS dx), (SELECT unnest(generate_series(-16, 16, 8)) AS dy)),
