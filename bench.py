@@ -13,7 +13,7 @@ from layerframe.session import get_session
 
 HEADLINE = [
     "h04_f02_flagship_fit_by_group", "h06_metrics", "h07_best_equation", "h10_pareto_fitted_family", "h02_valid_pixels_bilayer", "f05_residual_log",
-    "b02_stack_keys", "c04_c05_optimal_grid", "c08_stitch_first", "c11_box_mean_5x5", "c12_high_pass", "d02_component_stats", "e01_radius_pairs",
+    "b02_stack_keys", "c04_c05_optimal_grid", "c08_stitch_first", "c11_box_mean_5x5", "c12_high_pass", "c23_safe_centers", "d02_component_stats", "d05_thin_points", "d06_leader_clusters", "e01_radius_pairs",
     "e02_k_nearest", "e07_cycle_score", "e22_stacking_class", "e23_trimmed_mean", "i02_dice_iou", "i07_log_dumps", "g01_g08_weighted_draw", "a15_content_hashes",
 ]
 
