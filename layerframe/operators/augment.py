@@ -35,9 +35,13 @@ def draw_table(images: DataFrame, keys: list[str], n: int, seed: int, config: di
     Draws come from a hash of image, draw and parameter, so a lost task draws the same values again. A disabled
     group keeps its values and has ``<group>_enabled`` false; only the display values are then neutral.
     """
+    return draw_parameters(images.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))), keys, seed, config, disable)
+
+
+def draw_parameters(draws: DataFrame, keys: list[str], seed: int, config: dict | None = None, disable: tuple[str, ...] = ()) -> DataFrame:
+    """The parameters of :func:`draw_table` for rows that already have a ``draw`` number, as those of a stream."""
     config = config or {}
     off = set(DEFAULTS) if "all" in disable else {d.strip().lower() for d in disable}
-    d = images.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     cols: dict[str, Column] = {}
     k = 0
     for group, params in DEFAULTS.items():
@@ -52,7 +56,7 @@ def draw_table(images: DataFrame, keys: list[str], n: int, seed: int, config: di
     side = F.bround(cols["crop_side"]).cast("int")
     cols["crop_side"] = F.greatest(F.lit(2), side + F.pmod(side, F.lit(2)))
     cols["carbon_enabled"] = cols["carbon_enabled"] & (hash_uniform(seed + 1001, *keys, "draw") < cols["carbon_prob"])
-    return d.select(*images.columns, "draw", *[c.alias(nm) for nm, c in cols.items()])
+    return draws.select("*", *[c.alias(nm) for nm, c in cols.items()])
 
 
 def sample_pairs(images: DataFrame, order: list[str], n: int, seed: int) -> DataFrame:

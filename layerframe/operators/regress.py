@@ -34,6 +34,23 @@ def equal_shapes(px: DataFrame, key: list[str]) -> DataFrame:
     return per.groupBy(*key).agg(F.countDistinct("w", "h").alias("n")).filter("n = 1").select(*key)
 
 
+def shape_problems(px: DataFrame, key: list[str]) -> DataFrame:
+    """Stacks that :func:`matched_stacks` leaves out, with the shapes of their layers: ``key, shapes, problem``."""
+    per = px.groupBy(*key, "layer").agg(F.concat_ws("x", F.max("x") + 1, F.max("y") + 1).alias("shape"))
+    all_ = per.groupBy(*key).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("layer", "shape"))), lambda s: s["shape"]), ",").alias("shapes"), F.countDistinct("shape").alias("n"))  # one entry per layer
+    return all_.filter("n > 1").select(*key, "shapes", F.lit("sizes differ").alias("problem"))
+
+
+def matched_stacks(px: DataFrame, key: list[str], names: dict[str, str]) -> DataFrame:
+    """Layer pixels (key, layer, x, y, v) -> one row per pixel of the stacks whose layers agree in shape.
+
+    ``names`` gives the column of each layer, for instance ``{"1": "l1", "2": "l2", "bilayer": "t"}``. A pixel that one of the layers lacks is left out.
+    """
+    kept = px.filter(F.col("layer").cast("string").isin(*names)).join(equal_shapes(px, key), key, "left_semi")
+    wide = kept.groupBy(*key, "x", "y").agg(*[F.max(F.when(F.col("layer").cast("string") == a, F.col("v"))).alias(c) for a, c in names.items()])
+    return wide.dropna(subset=list(names.values()))
+
+
 def valid_bilayer(stack: DataFrame, key: list[str]) -> DataFrame:
     """Valid matched pixels of two-layer stacks (columns l1, l2, t): 5×5 means, centre and mean of the target above 50, one layer above 30."""
     m = box_mean(stack, ["l1", "l2", "t"], key=key)

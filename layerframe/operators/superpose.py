@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
+from ..iterate import cut
 
 KEY = ["image_id"]
 
@@ -55,6 +58,31 @@ def residual_log(pixels: DataFrame, key: list[str], fixed: float | None = None,
     return r.join(width, key).withColumn("shift_index", F.col("tr") * F.col("nc") + F.col("tc")).withColumn("adaptive", F.col("k_mode") == "adaptive").drop("nc")
 
 
+def residual_series(layers: DataFrame, target: DataFrame, key: list[str], schedule: list[tuple[int, int, float]], fixed: float | None = None, adaptive: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Log of every tile and step of ``schedule`` (t, t_next, lambda), and the layers after the last step.
+
+    ``layers``: key, tr, tc, layer, x, y, v in 0..1; ``target``: key, tr, tc, x, y, t. A step logs the residual it starts
+    from and then applies :func:`consistency_step` inside its tile. ``iter`` counts the records of an image: tiles in
+    raster order, the steps of a tile one after the other. The state of a step is a stored table, so that the plan of
+    the next one stays small and a lost executor costs one step.
+    """
+    tile = [*key, "tr", "tc"]
+    wanted = cut(target.select(*tile, "x", "y", "t"))
+    state, logs = cut(layers), []
+    for n, (t, t_next, lam) in enumerate(schedule):
+        sums = state.groupBy(*tile, "x", "y").agg(F.sum("v").alias("s")).join(wanted, [*tile, "x", "y"])
+        row = residual_log(sums, key, fixed, adaptive)
+        logs.append(row.withColumns({"iter": (F.col("shift_index") * len(schedule) + n).cast("bigint"), "t": F.lit(t), "t_next": F.lit(t_next), "lambda_t": F.lit(float(lam))}))
+        state = cut(consistency_step(state, wanted, tile, lam, fixed, adaptive))
+    log = reduce(DataFrame.unionByName, logs)
+    return log.withColumnsRenamed({"tr": "shift_h", "tc": "shift_w"}), state
+
+
+def series_summary(log: DataFrame, key: list[str]) -> DataFrame:
+    """Per image and step: mean k and mean residual over its tiles, in the order of the steps."""
+    return log.groupBy(*key, "t", "t_next").agg(F.min("iter").alias("first_iter"), F.avg("k").alias("k"), F.avg("residual_abs_mean").alias("residual_abs_mean"), F.count("*").alias("n_tiles"))
+
+
 def channel_mean(px: DataFrame, key: list[str] = KEY) -> DataFrame:
     """Gray from colour: mean of the channels (rows carry ``channel``)."""
     return px.groupBy(*key, "x", "y").agg(F.avg("v").alias("v"))

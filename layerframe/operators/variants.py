@@ -81,11 +81,30 @@ def bilayer_sweep(structures: DataFrame, xs: tuple[int, int, int], ys: tuple[int
                           "rot": F.lit(0.0), "flip": F.lit(False)}).drop("i", "j")
 
 
+def twist_sweep(structures: DataFrame, angles: tuple[float, ...], flips: tuple[bool, ...] = (False,), lift: float = 6.7) -> DataFrame:
+    """Sweep rows of a twist scan: layer 1 at rest, layer 2 lifted, turned by each angle (degrees) and flipped or not."""
+    s = structures.withColumn("angle", F.explode(F.array(*[F.lit(float(a)) for a in angles]))).withColumn("turned", F.explode(F.array(*[F.lit(f) for f in flips])))
+    s = s.withColumn("sweep_id", F.concat_ws("_", F.lit("0"), F.lit("0"), F.col("angle").cast("string"), F.col("turned").cast("int").cast("string")))
+    s = s.withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2))))
+    on = F.col("layer") == 2
+    return s.withColumns({"mx": F.lit(0.0), "my": F.lit(0.0), "mz": F.when(on, lift).otherwise(0.0), "rot": F.when(on, F.col("angle")).otherwise(0.0), "flip": on & F.col("turned")}).drop("angle", "turned")
+
+
 def third_layer_offset(m1: Column, m2: Column) -> Column:
     """Offset of the third layer from the two in-plane moves."""
     return m2 + 0.5 * m1
 
 
+def trilayer_sweep(structures: DataFrame, moves: list[tuple[float, float]], more: list[tuple[float, float]], lifts: tuple[float, float] = (7.0, 14.0)) -> DataFrame:
+    """Sweep rows of a three-layer scan: layer 2 takes each of ``moves``, layer 3 each of ``more`` on top of half of it."""
+    point = lambda xy: F.struct(F.lit(float(xy[0])).alias("x"), F.lit(float(xy[1])).alias("y"))
+    s = structures.withColumn("a", F.explode(F.array(*map(point, moves)))).withColumn("b", F.explode(F.array(*map(point, more))))
+    s = s.withColumn("sweep_id", F.concat_ws("_", "a.x", "a.y", "b.x", "b.y")).withColumn("layer", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))))
+    at = lambda c: F.when(F.col("layer") == 2, F.col(f"a.{c}")).when(F.col("layer") == 3, third_layer_offset(F.col(f"a.{c}"), F.col(f"b.{c}"))).otherwise(0.0)
+    lift = F.when(F.col("layer") == 2, lifts[0]).when(F.col("layer") == 3, lifts[1]).otherwise(0.0)
+    return s.withColumns({"mx": at("x"), "my": at("y"), "mz": lift, "rot": F.lit(0.0), "flip": F.lit(False)}).drop("a", "b")
+
+
 def composition(atoms: DataFrame, keys: list[str]) -> DataFrame:
     """Element counts per structure."""
     return atoms.groupBy(*keys, "symbol").agg(F.count("*").alias("n"), F.min("atom_id").alias("first_id"))

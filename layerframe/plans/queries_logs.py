@@ -11,6 +11,7 @@ from ..functions.numeric import r6
 from ..iterate import checkpoint_dir
 from ..operators import evallog as E
 from ..operators import variants as V
+from ..operators.augment import draw_parameters
 from ..sources import configs as CF
 from ..sources import files as FS
 from ..sources import tables as TB
@@ -157,6 +158,26 @@ def stacked_layers(spark, d):
     return rounded(st.groupBy("structure", "layer").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz")), 4)
 
 
+@query("g04_twisted_layers", f"""WITH {ATM}, sw AS (SELECT a AS angle, f AS flip, l AS layer FROM (SELECT unnest([0, 60]) AS a), (SELECT unnest([false, true]) AS f), (SELECT unnest([1, 2]) AS l)),
+r AS (SELECT structure, atom_id, layer, angle, flip, CASE WHEN layer = 2 THEN radians(angle::DOUBLE) ELSE 0.0 END AS a, layer = 2 AND flip AS fl, x - 20.0 AS dx, y - 15.0 AS dy, z + CASE WHEN layer = 2 THEN 6.7 ELSE 0 END AS z FROM atm, sw),
+t AS (SELECT *, cos(a) * dx - sin(a) * dy + 20.0 AS tx, sin(a) * dx + cos(a) * dy + 15.0 AS ty FROM r)
+SELECT structure, '0_0_' || angle || '.0_' || flip::INT AS sweep_id, layer, count(*) AS n, round(sum((atom_id % 13) * CASE WHEN fl THEN 40.0 - tx ELSE tx END), 4) AS sx, round(sum((atom_id % 13) * ty), 4) AS sy, round(sum((atom_id % 13) * CASE WHEN fl THEN 6.0 - z ELSE z END), 4) AS sz FROM t GROUP BY ALL""")
+def twisted_layers(spark, d):
+    a = _atoms(spark, d)
+    s = a.select("structure").distinct().withColumns({"ccx": F.lit(20.0), "ccy": F.lit(15.0), "ccz": F.lit(3.0)})
+    st = V.stack_layers(a, V.twist_sweep(s, (0.0, 60.0), (False, True)), ["structure"]).withColumn("w", F.col("atom_id") % 13)
+    return rounded(st.groupBy("structure", "sweep_id", "layer").agg(F.count("*").alias("n"), *[F.sum(F.col("w") * F.col(c)).alias(f"s{c}") for c in "xyz"]), 4)
+
+
+@query("g04_trilayers", f"""WITH {ATM}, sw AS (SELECT ax, bx, ax * 0.5::DOUBLE AS ay, bx * -1.0::DOUBLE AS yb, l AS layer FROM (SELECT unnest([0.0::DOUBLE, 1.5]) AS ax), (SELECT unnest([-0.5::DOUBLE, 2.0]) AS bx), (SELECT unnest([1, 2, 3]) AS l))
+SELECT structure, layer, count(*) AS n, round(sum(x + CASE layer WHEN 2 THEN ax WHEN 3 THEN bx + 0.5 * ax ELSE 0 END), 4) AS sx, round(sum(y + CASE layer WHEN 2 THEN ay WHEN 3 THEN yb + 0.5 * ay ELSE 0 END), 4) AS sy, round(sum(z + CASE layer WHEN 2 THEN 7.0 WHEN 3 THEN 14.0 ELSE 0 END), 4) AS sz FROM atm, sw GROUP BY ALL""")
+def trilayers(spark, d):
+    a = _atoms(spark, d)
+    s = a.select("structure").distinct().withColumns({"ccx": F.lit(20.0), "ccy": F.lit(15.0), "ccz": F.lit(3.0)})
+    st = V.stack_layers(a, V.trilayer_sweep(s, [(0.0, 0.0), (1.5, 0.75)], [(-0.5, 0.5), (2.0, -2.0)]), ["structure"])
+    return rounded(st.groupBy("structure", "layer").agg(F.count("*").alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.sum("z").alias("sz")), 4)
+
+
 @query("g05_composition", f"WITH {ATM} SELECT structure, symbol, count(*) AS n, min(atom_id) AS first_id FROM atm GROUP BY ALL")
 def composition(spark, d):
     return V.composition(_atoms(spark, d), ["structure"])
@@ -221,6 +242,23 @@ def xyz_structures(spark, d):
     return s.join(cells.select("structure", F.size("lattice").alias("lattice_len")), "structure").select(F.col("structure").cast("int").alias("structure"), "n", "lattice_len", "sx")
 
 
+@query("a05_xyz_files", """SELECT doc_id % 8 AS structure, count(*) AS n, 9 AS lattice_len, count(*)::INT AS header_n, round(sum(n_chars / 8.0::DOUBLE), 4) AS sx, sum((pos - 1) * (n_chars % 7))::BIGINT AS order_sum
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id % 8 ORDER BY doc_id) AS pos FROM documents) GROUP BY 1""")
+def xyz_files(spark, d):
+    """Eight structure files with an atom per document, written as text and read back line by line."""
+    docs = T.table(spark, d, "documents").select((F.col("doc_id") % 8).alias("part"), "doc_id", "n_chars")
+    atom = F.format_string("Re %.6f %.6f %.1f", F.col("n_chars") / 8.0, (F.col("n_chars") % 7).cast("double"), F.col("part").cast("double"))
+    cell = F.lit('\nLattice="1.0 0 0 0 1.0 0 0 0 1.0" pbc="F F F"')
+    head = docs.groupBy("part").agg(F.count("*").alias("n")).select("part", F.lit(-1).cast("bigint").alias("doc_id"), F.concat(F.col("n").cast("string"), cell).alias("value"))
+    path = _scratch(spark)
+    rows = head.unionByName(docs.select("part", "doc_id", atom.alias("value")))
+    rows.repartition("part").sortWithinPartitions("part", "doc_id").select("part", "value").write.partitionBy("part").text(path)
+    atoms, cells = FS.read_xyz(spark, path, files=True)
+    # files are named by the writer; the third coordinate tells which one it is
+    s = atoms.groupBy("file").agg(F.max("z").cast("bigint").alias("part"), F.count("*").alias("n"), F.round(F.sum("x"), 4).alias("sx"), F.sum(F.col("atom_id") * F.col("y")).cast("bigint").alias("order_sum"))
+    return s.join(cells.select("file", F.size("lattice").alias("lattice_len"), F.col("n").alias("header_n")), "file").select(F.col("part").alias("structure"), "n", "lattice_len", "header_n", "sx", "order_sum")
+
+
 @query("a06_source_configs", "SELECT p_partkey::VARCHAR AS path, 1 AS n_thermal, CASE WHEN p_size % 4 = 0 THEN 'negative preset weight' ELSE '' END AS problem, p_size % 3 = 0 AS legacy FROM part")
 def source_configs(spark, d):
     p = T.table(spark, d, "part")
@@ -250,6 +288,17 @@ def manifest_round_trip(spark, d):
     return rounded(back.groupBy("defect_preset").agg(F.count("*").alias("n"), F.sum("defocus_A").alias("total")), 2)
 
 
+@query("a08_config_snapshots", """SELECT p_partkey::VARCHAR AS path, 'm' || p_size AS material, p_partkey % 512 + 1 AS width, CASE WHEN p_size % 3 = 2 THEN 0 ELSE p_size END AS tag, 'mask.png' AS mask_path FROM part""")
+def config_snapshots(spark, d):
+    """Snapshots of one configuration per part, read back field by field; every third has metadata that is no object."""
+    text = F.when(F.col("p_size") % 3 == 2, F.lit("[1, 2]")).otherwise(F.to_json(F.struct(F.col("p_size").alias("tag"))))
+    raw = T.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), F.concat(F.lit("m"), "p_size").alias("material"), (F.col("p_partkey") % 512 + 1).cast("string").alias("image_size"), text.alias("metadata"))
+    none = spark.createDataFrame([], CF.RAW_SCHEMA).drop("metadata", "material", "image_size")
+    snap = CF.snapshot(CF.parse_configs(raw.unionByName(none, allowMissingColumns=True)))
+    back = F.from_json("text", "source_config string, material string, image_size struct<width: bigint>, mask_path string, metadata struct<tag: bigint>")
+    return snap.select(back.alias("b")).select(F.col("b.source_config").alias("path"), "b.material", "b.image_size.width", F.coalesce("b.metadata.tag", F.lit(0)).alias("tag"), "b.mask_path")
+
+
 @query("a09_point_clouds", f"WITH {T.PTS}, i AS (SELECT sample, count(*) AS n FROM pts GROUP BY sample) SELECT pts.sample, n AS n_points, 4.0::DOUBLE AS out_scale, round(sum(x),4)+0.0 AS sx FROM pts JOIN i ON i.sample=pts.sample GROUP BY ALL")
 def point_clouds(spark, d):
     p = T.pts(spark, d)
@@ -316,6 +365,36 @@ def pivoted_log(spark, d):
     return wide.groupBy("run").agg(F.count("click").alias("click"), F.count("view").alias("view"))
 
 
+@query("a17_log_rows", f"WITH {T.LOG}, o AS (SELECT run, step % 50 AS slot, key, arg_max(value, step) AS v FROM log GROUP BY ALL) SELECT run, slot, count(*) AS n_keys, round(sum(v), 6) AS total, round(max(CASE WHEN key = 'click' THEN v END), 6) AS click FROM o GROUP BY run, slot")
+def log_rows(spark, d):
+    long = T.log(spark, d).withColumnRenamed("step", "seq").withColumn("step", F.col("seq") % 50)
+    rows = TB.log_rows(long, seq=["seq"])
+    total = F.aggregate(F.map_values("values"), F.lit(0.0), lambda a, b: a + b)
+    return rounded(rows.select("run", F.col("step").alias("slot"), F.size("values").cast("bigint").alias("n_keys"), total.alias("total"), F.try_element_at("values", F.lit("click")).alias("click")))
+
+
+@query("a17_growing_log", f"WITH {T.LOG} SELECT run, count(*) AS n, count(CASE WHEN step % 3 >= 1 THEN value END) AS n_second, round(coalesce(sum(CASE WHEN step % 3 = 2 THEN step END), 0), 0)::BIGINT AS third FROM log GROUP BY run")
+def growing_log(spark, d):
+    """Three batches: the second brings one new column, the third another."""
+    g, path = T.log(spark, d), _scratch(spark)
+    for part, columns in enumerate((["run", "step"], ["run", "step", "value"], ["run", "step", "value", "late"])):
+        TB.append_log(g.filter(F.col("step") % 3 == part).withColumn("late", F.col("step")).select(*columns), path)
+    wide = TB.read_log(spark, path)
+    return wide.groupBy("run").agg(F.count("*").alias("n"), F.count("value").alias("n_second"), F.coalesce(F.sum("late"), F.lit(0)).cast("bigint").alias("third"))
+
+
+@query("a04_gray_tables", """SELECT count(*) AS n, round(sum(l_quantity), 4) AS layer1, round(sum(l_tax), 4) AS bilayer, (count(*) * (count(*) - 1) / 2)::BIGINT AS index_sum FROM lineitem GROUP BY l_orderkey % 4""")
+def gray_tables(spark, d):
+    """Four gray-value tables made of the order lines, written as CSV beside one that lacks a column, and read back."""
+    li = T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 4).alias("part"), F.col("l_linenumber").alias("x"), F.col("l_suppkey").alias("y"), F.col("l_quantity").alias("layer1_gray"), F.col("l_discount").alias("layer2_gray"), F.col("l_tax").alias("bilayer_gray"))
+    path = _scratch(spark)
+    for i in range(5):
+        one = li.filter(F.col("part") == i % 4).drop("part")
+        (one.drop("bilayer_gray") if i == 4 else one).coalesce(1).write.option("header", True).csv(f"{path}/gray_values_{i}.csv")
+    t = TB.read_gray_tables(spark, path, 2)
+    return rounded(t.groupBy("source_image").agg(F.count("*").alias("n"), F.sum("layer1_gray").alias("layer1"), F.sum("bilayer_gray").alias("bilayer"), F.sum("pixel_index").alias("index_sum")).drop("source_image"), 4)
+
+
 # ---------------------------------------------------------------- J: streams over the event table
 
 def _drain(stream: DataFrame, mode: str = "append", conf: dict | None = None) -> DataFrame:
@@ -364,12 +443,36 @@ def bounded_draws(spark, d):
     return spark.read.parquet(f"{out}/data").agg(F.count("*").alias("draws"), F.countDistinct("source").alias("sources"))
 
 
+ROCKS = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+         "spark.sql.streaming.noDataMicroBatches.enabled": "false"}  # state with a time to live asks for another batch for ever
+
+
+def _event_batches(spark, d):
+    """The events in four files, one micro-batch each: the same user comes in several of them."""
+    path = _scratch(spark)
+    e = T.table(spark, d, "events")
+    e.repartitionByRange(4, "event_id").write.parquet(path)
+    return spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("j01_ingest_remembered", "SELECT DISTINCT user_id AS file FROM events WHERE user_id IS NOT NULL")
+def ingest_remembered(spark, d):
+    return _drain(ST.ingest_remembered(_event_batches(spark, d).select(F.col("user_id").alias("file")), "file"), "append", ROCKS)
+
+
+@query("j03_quota_draws", """WITH b AS (SELECT user_id AS source, count(*) AS n FROM events WHERE user_id IS NOT NULL GROUP BY 1) SELECT source, 3 AS draws, 0 AS first_draw, 2 AS last_draw FROM b""")
+def quota_draws(spark, d):
+    """Three draws per source and batch, three in all: a source of several batches gets no more."""
+    out = _drain(ST.quota_draws(_event_batches(spark, d), "user_id", 3, 3), "append", ROCKS)
+    p = draw_parameters(out, ["source"], 3)
+    return p.groupBy("source").agg(F.count("*").alias("draws"), F.min("draw").alias("first_draw"), F.max("draw").alias("last_draw"))
+
+
 @query("j04_early_stopping_stream", """WITH e AS (SELECT user_id AS run, event_id AS epoch, value AS score FROM events), b AS (SELECT *, max(score) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb, row_number() OVER (PARTITION BY run ORDER BY epoch) AS n FROM e),
 l AS (SELECT *, max(CASE WHEN pb IS NULL OR score > pb THEN n END) OVER (PARTITION BY run ORDER BY epoch) AS last FROM b) SELECT run, min(CASE WHEN n - last >= 20 THEN epoch END) AS stop_epoch, round(max(score),6) AS best FROM l GROUP BY run""")
 def early_stopping_stream(spark, d):
     s = _events(spark, d).select(F.col("user_id").alias("run"), F.col("event_id").alias("epoch"), F.col("value").alias("score"))
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
-    out = _drain(ST.early_stopping(s, 20), "append", conf)
+    out = _drain(ST.early_stopping(s, 20), "append", ROCKS)
     return rounded(out.groupBy("run").agg(F.min(F.when(F.col("stopped"), F.col("epoch"))).alias("stop_epoch"), F.max("best").alias("best")))
 
 

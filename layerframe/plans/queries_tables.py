@@ -10,6 +10,7 @@ from ..operators import keys as K
 from ..operators import pixels as P
 from ..operators import regress as R
 from ..operators import superpose as S
+from ..sources.tables import RESIDUAL_COLUMNS
 from . import standins as T
 from .registry import query
 
@@ -75,6 +76,27 @@ def valid_trilayer(spark, d):
     return rounded(R.valid_trilayer(s, ["stack"]))
 
 
+RAGGED = """rag AS (SELECT image_id // 3 AS stack, CAST(image_id % 3 AS INT) AS layer, x, y, v FROM gray WHERE image_id % 7 <> 0 OR x < 7)"""
+
+
+@query("h02_matched_stacks", f"""WITH {T.GRAY}, {RAGGED}, sh AS (SELECT stack, layer, max(x) AS w, max(y) AS h FROM rag GROUP BY ALL), ok AS (SELECT stack FROM sh GROUP BY stack HAVING count(DISTINCT (w, h)) = 1)
+SELECT stack, x, y, round(max(CASE WHEN layer = 0 THEN v END), 6) AS l1, round(max(CASE WHEN layer = 1 THEN v END), 6) AS l2, round(max(CASE WHEN layer = 2 THEN v END), 6) AS t FROM rag JOIN ok USING (stack) GROUP BY stack, x, y HAVING count(DISTINCT layer) = 3""")
+def matched_stacks(spark, d):
+    """Stacks of three images; every seventh image is one column narrower, and its stack goes."""
+    return rounded(R.matched_stacks(_ragged(spark, d), ["stack"], {"0": "l1", "1": "l2", "2": "t"}))
+
+
+def _ragged(spark, d):
+    g = T.gray(spark, d).filter("image_id % 7 <> 0 or x < 7")
+    return g.select(F.floor(F.col("image_id") / 3).cast("bigint").alias("stack"), (F.col("image_id") % 3).cast("int").alias("layer"), "x", "y", "v")
+
+
+@query("h02_shape_problems", f"""WITH {T.GRAY}, {RAGGED}, sh AS (SELECT stack, layer, (max(x) + 1) || 'x' || (max(y) + 1) AS shape FROM rag GROUP BY ALL)
+SELECT stack, string_agg(shape, ',' ORDER BY layer) AS shapes, 'sizes differ' AS problem FROM sh GROUP BY stack HAVING count(DISTINCT shape) > 1""")
+def shape_problems(spark, d):
+    return R.shape_problems(_ragged(spark, d), ["stack"])
+
+
 @query("h03_sample_400_per_stack", f"""WITH {T.PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY md5(concat_ws('/', 21, grp, l_orderkey, l_linenumber)), l_orderkey, l_linenumber) AS k FROM pairs)
 SELECT grp, count(*) AS n, count(DISTINCT (l_orderkey, l_linenumber)) AS n_distinct, round(avg(y), 6) AS mean_t FROM r WHERE k <= 400 GROUP BY grp""")
 def sample_400(spark, d):
@@ -204,6 +226,33 @@ def residual_log(spark, d):
     return rounded(S.residual_log(tiles, ["image_id"]))
 
 
+# the steps of a fixed k in closed form: s becomes s - lambda * (k s - t) / k
+SERIES = """q0 AS (SELECT image_id, tr, tc, x, y, s, t FROM st JOIN tl ON x >= x0 AND x < x0+4 AND y >= y0 AND y < y0+4), q1 AS (SELECT image_id, tr, tc, x, y, s - 1.0 * (0.4::DOUBLE * s - t) / 0.4::DOUBLE * 0.5::DOUBLE AS s, t FROM q0),
+q2 AS (SELECT image_id, tr, tc, x, y, s - 0.25::DOUBLE * (0.4::DOUBLE * s - t) / 0.4::DOUBLE AS s, t FROM q1), qs AS (SELECT *, 0 AS n FROM q0 UNION ALL SELECT *, 1 FROM q1 UNION ALL SELECT *, 2 FROM q2)"""
+
+
+@query("f05_residual_series", f"""WITH {STK}, {TILES44}, {SERIES}
+SELECT image_id, tr AS shift_h, tc AS shift_w, tr*3+tc AS shift_index, ((tr*3+tc)*3 + n)::BIGINT AS iter, [90, 60, 30][n + 1] AS t, [60, 30, -1][n + 1] AS t_next, [0.5, 0.25, 1.0][n + 1]::DOUBLE AS lambda_t, 0.4::DOUBLE AS k, 'fixed' AS k_mode, round(avg(abs(0.4::DOUBLE * s - t)), 6) AS residual_abs_mean, false AS adaptive
+FROM qs GROUP BY image_id, tr, tc, n""")
+def residual_series(spark, d):
+    """Three steps on every 4 × 4 tile of the layers, all eleven columns of the log."""
+    log, _ = S.residual_series(*_tiled_layers(spark, d), ["image_id"], [(90, 60, 0.5), (60, 30, 0.25), (30, -1, 1.0)], fixed=0.4)
+    return rounded(log.select("image_id", *RESIDUAL_COLUMNS))
+
+
+def _tiled_layers(spark, d):
+    p = _stk(spark, d)
+    tiles = P.cut_tiles(p, P.image_size(p), 4).select("image_id", "tr", "tc", "x", "y", "t")
+    return T.layers(spark, d).join(tiles.drop("t"), ["image_id", "x", "y"]), tiles
+
+
+@query("f05_series_summary", f"""WITH {STK}, {TILES44}, {SERIES}, r AS (SELECT image_id, tr, tc, n, avg(abs(0.4::DOUBLE * s - t)) AS r FROM qs GROUP BY ALL)
+SELECT image_id, [90, 60, 30][n + 1] AS t, [60, 30, -1][n + 1] AS t_next, n::BIGINT AS first_iter, 0.4::DOUBLE AS k, round(avg(r), 6) AS residual_abs_mean, count(*) AS n_tiles FROM r GROUP BY image_id, n""")
+def series_summary(spark, d):
+    log, _ = S.residual_series(*_tiled_layers(spark, d), ["image_id"], [(90, 60, 0.5), (60, 30, 0.25), (30, -1, 1.0)], fixed=0.4)
+    return rounded(S.series_summary(log, ["image_id"]))
+
+
 @query("f06_channel_mean", f"WITH {T.LAYERS} SELECT image_id, x, y, round(avg(v), 6) AS v, round(avg(v), 6) AS back FROM layers GROUP BY image_id, x, y")
 def channel_mean(spark, d):
     m = S.channel_mean(T.layers(spark, d).withColumnRenamed("layer", "channel"))

@@ -46,11 +46,13 @@ def parse_configs(raw: DataFrame) -> DataFrame:
     legacy = F.array(F.struct(F.lit("legacy").alias("name"), legacy_rates.alias("rates"), F.lit(1.0).alias("weight")))
     presets = F.when(F.size("defect_presets") > 0, F.transform("defect_presets", preset)).when(F.col("defect_presets").isNull() & (F.size("defects") > 0), legacy).otherwise(clean)
     s = F.col("simulator")
+    metadata = F.col("metadata") if "metadata" in raw.columns else F.lit("{}")
     return raw.select(
         "path", F.coalesce("material", F.lit(DEFAULTS["material"])).alias("material"), F.coalesce("num", F.lit(DEFAULTS["num"])).alias("num"), "seed", "structure_path",
         F.struct(F.coalesce(n, obj["width"]).alias("width"), F.coalesce(n, obj["height"]).alias("height")).alias("image_size"),
         float_list(s["defocus_A"], DEFAULTS["defocus_A"]).alias("defocus_A"), float_list(s["source_size_A"], DEFAULTS["source_size_A"]).alias("source_size_A"),
-        weighted_list(s["thermal_displacement_A"], DEFAULTS["thermal_displacement_A"]).alias("thermal_displacement_A"), presets.alias("defect_presets"))
+        weighted_list(s["thermal_displacement_A"], DEFAULTS["thermal_displacement_A"]).alias("thermal_displacement_A"), presets.alias("defect_presets"),
+        F.when(F.startswith(F.ltrim(metadata), F.lit("{")), metadata).otherwise("{}").alias("metadata"))
 
 
 def read_configs(spark: SparkSession, path: str) -> DataFrame:
@@ -75,5 +77,5 @@ def append_manifest(rows: DataFrame, path: str) -> None:
 
 
 def snapshot(cfg: DataFrame) -> DataFrame:
-    """Configuration snapshot record as JSON text."""
-    return cfg.select("path", F.to_json(F.struct(F.col("path").alias("source_config"), "material", "num", "image_size", F.lit("mask.png").alias("mask_path"))).alias("text"))
+    """Configuration snapshot record as JSON text; metadata that is no JSON object counts as an empty one."""
+    return cfg.select("path", F.to_json(F.struct(F.col("path").alias("source_config"), "material", "num", "image_size", F.lit("mask.png").alias("mask_path"), F.coalesce(F.try_parse_json("metadata"), F.parse_json(F.lit("{}"))).alias("metadata"))).alias("text"))

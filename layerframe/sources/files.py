@@ -5,7 +5,7 @@ from __future__ import annotations
 import fnmatch
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.keys import DEFAULT_EXCLUDES, IMAGE_EXTENSIONS, base_name, dir_name, stem
@@ -114,20 +114,40 @@ def layer_dataset(spark: SparkSession, path_list: str, images: DataFrame, left_o
 
 # ---------------------------------------------------------------- structures
 
+def _cell(head: Column, comment: Column) -> list[Column]:
+    """Atom count, lattice and periodicity from the two leading lines."""
+    lattice = F.transform(F.split(F.regexp_extract(comment, r'Lattice="([^"]*)"', 1), r"\s+"), lambda s: s.try_cast("double"))
+    return [F.trim(head).try_cast("int").alias("n"), lattice.alias("lattice"), F.regexp_extract(comment, r'pbc="([^"]*)"', 1).alias("pbc")]
+
+
+def _atom(line: Column) -> list[Column]:
+    p = F.split(F.trim(line), r"\s+")
+    return [F.get(p, 0).alias("symbol"), *[F.get(p, i + 1).try_cast("double").alias(c) for i, c in enumerate("xyz")]]
+
+
 def parse_xyz(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Atoms and cells of extended-XYZ texts (``structure, text``)."""
+    """Atoms and cells of extended-XYZ texts (``structure, text``) that are short enough for a row; :func:`read_xyz` reads files of any size."""
     d = texts.withColumn("ls", F.split("text", r"\r?\n"))
-    lat = F.transform(F.split(F.regexp_extract(F.get("ls", 1), r'Lattice="([^"]*)"', 1), r"\s+"), lambda s: s.try_cast("double"))
-    cells = d.select("structure", F.trim(F.get("ls", 0)).try_cast("int").alias("n"), lat.alias("lattice"), F.regexp_extract(F.get("ls", 1), r'pbc="([^"]*)"', 1).alias("pbc"))
     body = d.select("structure", F.posexplode(F.slice("ls", 3, F.greatest(F.lit(0), F.size("ls") - 2))).alias("atom_id", "line")).filter(F.trim("line") != "")
-    p = F.split(F.trim("line"), r"\s+")
-    atoms = body.select("structure", "atom_id", F.get(p, 0).alias("symbol"), *[F.get(p, i + 1).try_cast("double").alias(c) for i, c in enumerate("xyz")])
-    return atoms, cells
+    return body.select("structure", "atom_id", *_atom(F.col("line"))), d.select("structure", *_cell(F.get("ls", 0), F.get("ls", 1)))
+
 
+def read_xyz(spark: SparkSession, path: str, files: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Atoms and cells of the XYZ files under ``path``, as :func:`parse_xyz` gives them; with ``files`` also the ``file`` of each, for names that recur in several folders.
 
-def read_xyz(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    t = spark.read.text(path, wholetext=True).select(stem(F.col("_metadata.file_name")).alias("structure"), F.col("value").alias("text"))
-    return parse_xyz(t)
+    Files are read as byte ranges, so one large file is many tasks. A line's number is its place in its range plus the
+    lines of the ranges before it, which are counted once; no file is ever one row or one task.
+    """
+    row = F.monotonically_increasing_id()
+    lines = spark.read.text(path).select("value", stem(F.col("_metadata.file_name")).alias("structure"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), row.alias("row"))
+    ranges = lines.groupBy("file", "start").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    shift = ranges.select("file", "start", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    numbered = lines.join(shift, ["file", "start"]).select("file", "structure", "value", (F.col("row") + F.col("shift")).alias("no"))
+    origin = ["file"] if files else []
+    cells = numbered.filter("no < 2").groupBy("file", "structure").agg(F.max(F.when(F.col("no") == 0, F.col("value"))).alias("head"), F.max(F.when(F.col("no") == 1, F.col("value"))).alias("comment"))
+    atoms = numbered.filter((F.col("no") >= 2) & (F.trim("value") != "")).select("structure", (F.col("no") - 2).alias("atom_id"), *_atom(F.col("value")), *origin)
+    return atoms, cells.select("structure", *_cell(F.col("head"), F.col("comment")), *origin)
 
 
 # ---------------------------------------------------------------- point clouds

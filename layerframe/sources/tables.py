@@ -97,9 +97,34 @@ def union_growing(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
+def log_rows(long: DataFrame, run: list[str] | None = None, seq: list[str] | None = None) -> DataFrame:
+    """Long key/value log -> one row per step with ``values``, a map from key to value: any key set, none collected.
+
+    Of a key logged again in a step the row that ``seq`` orders last wins; without ``seq`` the largest value.
+    """
+    run = run or ["run", "step"]
+    value = F.max_by("value", F.struct(*seq)) if seq else F.max("value")
+    one = long.groupBy(*run, "key").agg(value.alias("value"))
+    return one.groupBy(*run).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("key", "value")))).alias("values"))  # one entry per key
+
+
+def append_log(rows: DataFrame, path: str) -> None:
+    """Append a batch of log rows whose columns may differ from those written before."""
+    rows.write.mode("append").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """All batches of :func:`append_log`; columns that a batch did not have are null in its rows, as if back-filled.
+
+    The schemas are merged from the file footers by tasks; no data row is read for it.
+    """
+    return spark.read.option("mergeSchema", True).parquet(path)
+
+
 def pivot_log(long: DataFrame, keys: list[str] | None = None, run: list[str] | None = None, seq: list[str] | None = None) -> DataFrame:
     """Long key/value log -> one row per step with a column per key.
 
+    Without ``keys`` the key set becomes the schema and is collected for it; :func:`log_rows` has no such step.
     Of a key logged again in a step the row that ``seq`` orders last wins; without ``seq`` the largest value.
     """
     run = run or ["run", "step"]

@@ -14,7 +14,10 @@ from ..operators.augment import draw_table
 
 
 def ingest_once(stream: DataFrame, key: str, ts: str | None = None, delay: str = "1 day") -> DataFrame:
-    """Every file or manifest row once; with a time column the remembered keys expire after ``delay``."""
+    """Every file or manifest row once; with a time column the remembered keys expire after ``delay``.
+
+    Without one they are kept for ever; :func:`ingest_remembered` forgets them by the clock.
+    """
     if ts is None:
         return stream.dropDuplicates([key])
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
@@ -37,6 +40,45 @@ def draws_per_batch(keys: list[str], per_source: int, seed: int, sink: Callable[
     return run
 
 
+class Quota(StatefulProcessor):
+    """Numbers the rows of a key up to its quota; the count is forgotten ``ttl_ms`` after it last changed."""
+
+    def __init__(self, per_batch: int, cap: int, ttl_ms: int):
+        self.per_batch, self.cap, self.ttl_ms = per_batch, cap, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.taken = handle.getValueState("taken", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for _ in rows:
+            pass
+        had = self.taken.get()[0] if self.taken.exists() else 0
+        new = min(self.per_batch, self.cap - had)
+        if new > 0:
+            self.taken.update((had + new,))
+            yield pd.DataFrame({"source": [key[0]] * new, "draw": range(had, had + new)})
+
+    def close(self) -> None:
+        pass
+
+
+def quota_draws(stream: DataFrame, source: str, per_batch: int, cap: int, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """``source, draw``: every micro-batch a source appears in gives it ``per_batch`` more draws, ``cap`` in all.
+
+    The count per source is state with a time to live: it holds across batches and restarts, and a source that got no draw for ``ttl_ms`` is
+    forgotten, so the state is bounded by the sources of that time. Needs the RocksDB state store; a stream that runs until everything
+    available is read also needs ``spark.sql.streaming.noDataMicroBatches.enabled`` off, or it never ends.
+    """
+    kind = stream.schema[source].dataType.simpleString()
+    named = stream.select(F.col(source).alias("source")).filter("source is not null")
+    return named.groupBy("source").transformWithStateInPandas(statefulProcessor=Quota(per_batch, cap, ttl_ms), outputStructType=f"source {kind}, draw bigint", outputMode="Append", timeMode="ProcessingTime")
+
+
+def ingest_remembered(stream: DataFrame, key: str, ttl_ms: int = 7 * 86_400_000) -> DataFrame:
+    """Every value of ``key`` once, for streams without a time column: remembered for ``ttl_ms`` and then forgotten."""
+    return quota_draws(stream, key, 1, 1, ttl_ms).select(F.col("source").alias(key))
+
+
 class EarlyStop(StatefulProcessor):
     """Best score, counter and stop flag per run; one output row per evaluated epoch."""
 
