@@ -14,6 +14,8 @@ nor one of texts that drifted apart costs all its pairs.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,7 @@ SHINGLE = 5
 REGISTERS, ROWS = 128, 4  # a pair at similarity .75 shares none of the 32 bands with probability 5e-6
 BASE, RATE, LIMIT = 1.001, 20.0, (1 << 16) - 2
 SLACK = 0.2  # five standard deviations of the estimate from 128 registers
+KEY_ROWS = 4096  # sets of one shingle and size band that one task compares the others with
 _FACTORS = np.random.Generator(np.random.PCG64(91)).integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -156,7 +159,8 @@ def _sharing_rare(open_classes: DataFrame, texts: DataFrame, percent: int) -> Da
     Two sets of the wanted similarity must share one of the first ``n - ceil(percent * n) + 1`` shingles in
     any common order (prefix filter), and from the first one on must have enough left (positional
     filter). In the order of frequency, classes that drifted apart by many
-    edits have only shingles of their own there, so a bucket full of them makes no pairs.
+    edits have only shingles of their own there, so a bucket full of them makes no pairs. Sets meet only in the size bands
+    that both filters leave open, so texts that share a passage but not enough of it are not compared.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,11 +179,27 @@ def _sharing_rare(open_classes: DataFrame, texts: DataFrame, percent: int) -> Da
     of_class = Window.partitionBy("rep")
     place = F.col("n") - F.count("*").over(of_class) + F.row_number().over(of_class.orderBy("freq", "shingle"))
     prefix = cut(ranked.withColumn("place", place).filter(F.col("place") <= F.floor(F.col("n") * (100 - percent) / 100) + 1).select("shingle", "rep", "label", "n", (F.col("n") - F.col("place") + 1).alias("left")))
-    left, right = prefix.toDF("shingle", "a", "label_a", "n_a", "left_a"), prefix.toDF("shingle", "b", "label_b", "n_b", "left_b")
-    # from their first common shingle on, two sets have at most the smaller rest in common
+    # n_a + n_b <= (100 + percent) / percent * left for both sides: from their first common shingle on, two sets have at
+    # most the smaller rest in common. So the smaller set names the sizes its partners can have, in bands of an eighth of a doubling
+    most = F.least(F.floor(F.col("left") * (100 + percent) / percent) - F.col("n"), F.floor(F.col("n") * 100 / percent))
+    band = lambda n: F.floor(F.log2(n.cast("double")) * 8).cast("int")
+    smaller = prefix.withColumn("most", most).filter("most >= n").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.col("most")))))
+    larger = prefix.withColumn("band", band(F.col("n")))
+    # a key that many sets have is cut into blocks of its smaller sets; the larger ones go to every block of theirs
+    salt = F.pmod(F.xxhash64(F.lit("salt"), "rep"), F.col("blocks"))
+    many = smaller.groupBy("shingle", "band").agg(F.ceil(F.count("*") / KEY_ROWS).alias("blocks"))
+    small = smaller.join(many.hint("merge"), ["shingle", "band"]).withColumn("block", salt)
+    large = larger.join(many.hint("merge"), ["shingle", "band"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    key = ["shingle", "band", "block"]
+    left = small.select(*key, F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"), F.col("left").alias("left_a"))
+    right = large.select(*key, F.col("rep").alias("b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"), F.col("left").alias("left_b"))
     enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("n_a") + F.col("n_b"))
-    near = (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")) & enough
-    return left.alias("l").join(right.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & near).select("a", "b").distinct()
+    order = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("a") < F.col("b")))
+    near = order & (F.col("label_a") != F.col("label_b")) & enough
+    same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in key]
+    # tables of repeated shingles are small as files and large in memory: never a broadcast by file size
+    found = left.alias("l").join(right.alias("r").hint("merge"), reduce(and_, same) & near)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:

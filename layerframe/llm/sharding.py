@@ -34,7 +34,7 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: S
     on the id and the weights alone; rows without id share one key. ``grown_shard``: with the shards of
     ``grown`` added. ``slot`` numbers the rows of a shard from 0 without gaps: rows are counted by
     (shard, hash bucket), offsets are running sums of those counts and only one bucket is ranked at a
-    time, so a shard is never one task. Identical rows are counted once and numbered in chunks.
+    time, so a shard is never one task, nor are the rows without id: buckets go by id, size and checksum. Identical rows are counted once and numbered in chunks.
     Empty table: no rows; other columns are not read.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -44,7 +44,7 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: S
     # one pass of hashing: the present shards' winner, then the new shards against it
     old = F.array_max(F.array(*[F.struct(score(key, i, w).alias("score"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]))
     new = F.array_max(F.array(F.col("best"), *[F.struct(score(key, len(weights) + i, w).alias("score"), F.lit(len(weights) + i).alias("shard")) for i, w in enumerate(grown)]))
-    order = F.conv(F.substring(F.md5(F.concat(F.lit("slot/"), key)), 1, 15), 16, 10).cast("long")
+    order = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("slot"), key, "size", "text_crc32")), 1, 15), 16, 10).cast("long")
     stored = cut(copies.withColumn("best", old).select("doc_id", "size", "text_crc32", "copies", F.col("best.shard").alias("shard"), new["shard"].alias("grown_shard"), order.alias("h")))
     n = stored.count()
     bits = max(0, min(30, (n // (rows_per_bucket * len(weights))).bit_length()))

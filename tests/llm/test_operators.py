@@ -380,3 +380,31 @@ def test_word_hashes_do_not_depend_on_place():
     words = [b"abc", b"", b"abcabc", b"abc", "ä".encode()]
     h = T.hash_words(words)
     assert h[0] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_near_duplicates_of_a_shared_passage(spark, monkeypatch):
+    """Texts that share 60 shingles and differ in length: pairs on both sides of the limit, in one or many blocks of a key."""
+    monkeypatch.setattr(setsketch, "KEY_ROWS", 3)
+    common = [f"c{i}" for i in range(64)]
+    rows = [(i, " ".join(common + [f"w{i}_{k}" for k in range(4 + i % 23)])) for i in range(70)]
+    sets = {i: {tuple(t.split()[k:k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    root = {i: i for i in sets}
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    got = {r.doc_id: r.component_id for r in setsketch.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == root and 1 < len(set(root.values())) < 70
+    pairs = setsketch._sharing_rare(spark.createDataFrame([(i, i) for i, _ in rows], "rep bigint, label bigint"), spark.createDataFrame(rows, "rep bigint, text string"), 75).collect()
+    near = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert near <= {(r.a, r.b) for r in pairs}
+
+
+def test_rows_without_id_share_a_shard_and_not_a_bucket(spark):
+    rows = spark.createDataFrame([(None, f"text {i}") for i in range(400)] + [(i, "t") for i in range(100)], "doc_id bigint, text string")
+    got = sharding.shard_rows(rows, rows_per_bucket=4).collect()
+    shards = {r.shard for r in got if r.doc_id is None}
+    assert len(got) == 500 and len(shards) == 1
+    for s in {r.shard for r in got}:
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
