@@ -117,8 +117,9 @@ def lookup_plan(images: DataFrame, plans: DataFrame) -> DataFrame:
     table = p.groupBy(F.col("v.k").alias("k")).agg(
         F.min_by("plan_id", F.when(F.col("v.rank") >= 2, F.col("ord")).otherwise(-F.col("ord") - 1)).alias("plan_id"))
     i = images.select("path", F.explode(key_variants(F.col("path"))).alias("v")).select("path", "v.rank", "v.k")
-    hit = i.join(table, "k").groupBy("path").agg(F.min_by("plan_id", "rank").alias("plan_id"))
-    return images.select("path").join(hit, "path", "left")
+    # variants are laid out from names that are small as files: never a broadcast by file size
+    hit = i.join(table.hint("merge"), "k").groupBy("path").agg(F.min_by("plan_id", "rank").alias("plan_id"))
+    return images.select("path").join(hit.hint("merge"), "path", "left")
 
 
 def pair_layers(files: DataFrame, by_base: bool = False) -> DataFrame:
