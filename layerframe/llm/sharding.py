@@ -32,9 +32,10 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: S
 
     ``size``: UTF-8 bytes plus 1 (null text: 1, and the checksum of the empty text). ``shard`` depends
     on the id and the weights alone; rows without id share one key. ``grown_shard``: with the shards of
-    ``grown`` added. ``slot`` numbers the rows of a shard from 0 without gaps: rows are counted by
-    (shard, hash bucket), offsets are running sums of those counts and only one bucket is ranked at a
-    time, so a shard is never one task, nor are the rows without id: buckets go by id, size and checksum. Identical rows are counted once and numbered in chunks.
+    ``grown`` added. ``slot`` numbers the rows of a shard from 0 without gaps, by a hash of the id, then id (null last),
+    size and checksum: rows are range-partitioned in that order, counted by (shard, partition), offsets are running
+    sums of those counts and only one partition is ranked at a time, so a shard is never one task, nor are the rows
+    of one id or without id. Identical rows are counted once and numbered in chunks.
     Empty table: no rows; other columns are not read.
     """
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
@@ -44,15 +45,15 @@ def shard_rows(docs: DataFrame, weights: Sequence[float] = (1.0,) * 16, grown: S
     # one pass of hashing: the present shards' winner, then the new shards against it
     old = F.array_max(F.array(*[F.struct(score(key, i, w).alias("score"), F.lit(i).alias("shard")) for i, w in enumerate(weights)]))
     new = F.array_max(F.array(F.col("best"), *[F.struct(score(key, len(weights) + i, w).alias("score"), F.lit(len(weights) + i).alias("shard")) for i, w in enumerate(grown)]))
-    order = F.conv(F.substring(F.md5(F.concat_ws("/", F.lit("slot"), key, "size", "text_crc32")), 1, 15), 16, 10).cast("long")
-    stored = cut(copies.withColumn("best", old).select("doc_id", "size", "text_crc32", "copies", F.col("best.shard").alias("shard"), new["shard"].alias("grown_shard"), order.alias("h")))
-    n = stored.count()
-    bits = max(0, min(30, (n // (rows_per_bucket * len(weights))).bit_length()))
-    stored = stored.withColumn("bucket", F.shiftright("h", 60 - bits))
+    order = F.conv(F.substring(F.md5(F.concat(F.lit("slot/"), key)), 1, 15), 16, 10).cast("long")
+    place = [F.col("shard"), F.col("h"), F.col("doc_id").asc_nulls_last(), F.col("size"), F.col("text_crc32")]
+    ranked = copies.withColumn("best", old).select("doc_id", "size", "text_crc32", "copies", F.col("best.shard").alias("shard"), new["shard"].alias("grown_shard"), order.alias("h"))
+    ranged = ranked.repartitionByRange(1 + docs.count() // rows_per_bucket, *place)
+    stored = cut(ranged.withColumn("bucket", F.spark_partition_id()))
     counts = stored.groupBy("shard", "bucket").agg(F.sum("copies").alias("rows"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "bucket", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("shard", "bucket").orderBy("h", "doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "bucket").orderBy(*place[1:]).rowsBetween(Window.unboundedPreceding, -1)
     first = stored.withColumn("start", F.coalesce(F.sum("copies").over(inside), F.lit(0))).join(offsets, ["shard", "bucket"]).withColumn("start", F.col("start") + F.col("offset"))
     chunks = first.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / CHUNK))))
     size = F.least(F.lit(CHUNK).cast("long"), F.col("copies") - F.col("chunk") * CHUNK)

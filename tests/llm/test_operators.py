@@ -408,3 +408,16 @@ def test_rows_without_id_share_a_shard_and_not_a_bucket(spark):
     assert len(got) == 500 and len(shards) == 1
     for s in {r.shard for r in got}:
         assert sorted(r.slot for r in got if r.shard == s) == list(range(sum(r.shard == s for r in got)))
+
+
+def test_slots_follow_the_hash_of_the_id(spark):
+    """The order of the SQL: hash of the id, id (null last), size, checksum; in one bucket or in many."""
+    data = [(i, "t" * (i % 7)) for i in range(300)] + [(5, f"again {i}") for i in range(40)] + [(None, f"none {i}") for i in range(40)] + [(7, "same")] * 3
+    rows = spark.createDataFrame(data, "doc_id bigint, text string")
+    for n in (4, 20_000):
+        got = sharding.shard_rows(rows, rows_per_bucket=n).collect()
+        assert len(got) == len(data)
+        rank = {r: (hashlib.md5(f"slot/{'null' if r.doc_id is None else r.doc_id}".encode()).hexdigest()[:15], r.doc_id is None, r.doc_id or 0, r.size, r.text_crc32) for r in got}
+        for s in {r.shard for r in got}:
+            here = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+            assert [r.slot for r in here] == list(range(len(here))) and [rank[r] for r in here] == sorted(rank[r] for r in here)
