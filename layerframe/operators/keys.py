@@ -173,10 +173,13 @@ def numeric_sort(files: DataFrame, name: str = "name") -> DataFrame:
 
 
 def resume_steps(files: DataFrame, ema_rate: str = "0.9999") -> DataFrame:
-    """Step of each ``…modelNNNNNN.pt`` checkpoint (0 when the name holds none) and its EMA companion if present."""
+    """Step of each ``…modelNNNNNN.pt`` checkpoint (0 when the name holds none) and its EMA companion if present.
+
+    Steps have six digits at least; longer ones are written whole.
+    """
     step = F.coalesce(F.regexp_extract("path", r"model([0-9]+)\.[^/]*$", 1).try_cast("bigint"), F.lit(0))
     m = files.filter(F.col("path").rlike(r"model[^/]*\.pt$")).withColumn("step", step)
-    m = m.withColumn("ema_path", F.concat(dir_name(F.col("path")), F.lit("/ema_" + ema_rate + "_"), F.lpad(F.col("step").cast("string"), 6, "0"), F.lit(".pt")))
+    m = m.withColumn("ema_path", F.concat(dir_name(F.col("path")), F.lit("/ema_" + ema_rate + "_"), F.format_string("%06d", "step"), F.lit(".pt")))
     have = files.select(F.col("path").alias("ema_path"), F.lit(True).alias("has_ema"))
     return m.join(have, "ema_path", "left").withColumn("has_ema", F.coalesce("has_ema", F.lit(False)))
 
