@@ -9,6 +9,8 @@ from ..functions.formula import formula_column
 from ..iterate import grouped_quantiles, hash_order
 from .pixels import box_mean
 
+#: Parts of a group that is joined with its mean.
+SALTS = 64
 STATS = ("mean", "std", "cv", "min", "max", "q25", "q75")
 
 
@@ -97,10 +99,24 @@ def split_rows(df: DataFrame, key: list[str], test: float = 0.2, seed: int = 42)
 # ---------------------------------------------------------------- metrics
 
 def fill_nan_predictions(df: DataFrame, key: list[str], y: str = "y", pred: str = "pred") -> DataFrame:
-    """NaN or missing predictions become the mean target of their group."""
+    """NaN or missing predictions become the mean target of their group.
+
+    Only rows that lack one meet the means, and each group is dealt over `SALTS` parts: a group of any size is
+    never one task.
+    """
     m = df.groupBy(*key).agg(F.avg(y).alias("_m"))
-    j = df.join(m, key) if key else df.crossJoin(F.broadcast(m))
-    return j.withColumn(pred, F.coalesce(F.nanvl(F.col(pred), F.lit(None).cast("double")), F.col("_m"))).drop("_m")
+    lacks = F.col(pred).isNull() | F.isnan(pred)
+    gone = df.filter(lacks)
+    if key:
+        # any part holds the mean, so the part of a row need not be the same when a task runs again
+        part = m.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(key)], "_m", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("_q"))
+        on = F.col("_p") == F.col("_q")
+        for i, c in enumerate(key):
+            on = on & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+        gone = gone.withColumn("_p", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS))).join(part, on)
+    else:
+        gone = gone.crossJoin(F.broadcast(m))
+    return df.filter(~lacks).unionByName(gone.withColumn(pred, F.col("_m")).select(*df.columns))
 
 
 def metric_aggs(y: Column, p: Column) -> list[Column]:
