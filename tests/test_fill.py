@@ -25,3 +25,10 @@ def test_groups_are_not_single_tasks(spark):
     """Two groups whose predictions are all missing: the rows spread over the parts of each group."""
     df = spark.range(20000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("y"), F.lit(None).cast("double").alias("pred"))
     assert "_p" in plan(R.fill_nan_predictions(df.repartition(8), ["g"]))
+
+
+def test_evaluation_moves_no_complete_rows(spark):
+    """Rows that have a prediction are aggregated where they are: they meet no join."""
+    df = spark.range(1000).select(F.when(F.col("id") % 2 == 0, "test").otherwise("train").alias("dataset"), F.col("id").cast("double").alias("y"), F.col("id").cast("double").alias("pred"))
+    long = R.evaluation_long(R.evaluate(df.repartition(4), ["dataset"]), 5, 0)
+    assert "Union" in plan(R.fill_nan_predictions(df, ["dataset"])) and long.count() == 13
