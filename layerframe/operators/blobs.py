@@ -143,15 +143,15 @@ def leader_clusters(points: DataFrame, keys: list[str], radius: float) -> DataFr
     """
     p = points.withColumn("rk", F.struct("y", "x", "pt_id"))
     lead = cut(thin_points(p, keys, radius, "rk"))
-    # leaders are a radius apart, so a point meets a few of them only
+    # leaders are a radius apart, so a point meets a few of them only; points are small as files, so no join is a broadcast by file size
     cell = lambda c: F.floor(F.col(c) / radius)
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
     reach = lead.select(*keys, "rk", F.col("x").alias("lx"), F.col("y").alias("ly"), F.explode(steps).alias("s"))
     reach = reach.select(*keys, "rk", "lx", "ly", (F.floor(F.col("lx") / radius) + F.col("s.i")).alias("cx"), (F.floor(F.col("ly") / radius) + F.col("s.j")).alias("cy"))
     dx, dy = F.col("x") - F.col("lx"), F.col("y") - F.col("ly")
-    near = points.select(*keys, "pt_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).join(reach, [*keys, "cx", "cy"]).filter(dx * dx + dy * dy < radius * radius)
+    near = points.select(*keys, "pt_id", "x", "y", cell("x").alias("cx"), cell("y").alias("cy")).join(reach.hint("merge"), [*keys, "cx", "cy"]).filter(dx * dx + dy * dy < radius * radius)
     own = near.groupBy(*keys, "pt_id").agg(F.min("rk").alias("lead"))
-    member = p.join(own, [*keys, "pt_id"], "left").join(lead.select(*keys, "pt_id", F.lit(True).alias("_l")), [*keys, "pt_id"], "left")
+    member = p.join(own.hint("merge"), [*keys, "pt_id"], "left").join(lead.select(*keys, "pt_id", F.lit(True).alias("_l")).hint("merge"), [*keys, "pt_id"], "left")
     member = member.withColumn("lead", F.when(F.col("_l"), F.col("rk")).otherwise(F.col("lead")))
     g = member.groupBy(*keys, "lead").agg(F.count("*").alias("n"), F.avg("y").alias("my"), F.avg("x").alias("mx"))
     return g.select(*keys, "n", half_even(F.col("my")).alias("row"), half_even(F.col("mx")).alias("col"), F.col("lead.pt_id").alias("leader"))
