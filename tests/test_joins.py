@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables absent")
-NAMES = ["b03_plan_lookup", "c10_resize_bilinear", "c20_rotate_90_equals_turn", "c19_scan_jitter", "c20_perspective_quad", "c20_rotate_30", "d06_leader_clusters", "c10_resize_bicubic"]
+NAMES = ["b03_plan_lookup", "c10_resize_bilinear", "c20_rotate_90_equals_turn", "c19_scan_jitter", "c20_perspective_quad", "c20_rotate_30", "d06_leader_clusters", "c10_resize_bicubic", "c10_resize_nearest"]
 
 
 @pytest.mark.parametrize("name", NAMES)
