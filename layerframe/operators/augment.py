@@ -81,7 +81,7 @@ def safe_centers(mask: DataFrame, draws: DataFrame, key: list[str], seed: int, d
 def centers_by_distance(distances: DataFrame, draws: DataFrame, key: list[str], seed: int, draw: str = "draw") -> DataFrame:
     """`safe_centers` from a distance map ``key, x, y, d``: a uniform pick by hash among the pixels allowed."""
     d = cut(distances)
-    j = d.join(P.image_size(d, key), key).join(draws.select(*key, draw, "side", "safe_radius"), key)
+    j = d.hint("merge").join(P.image_size(d, key), key).hint("merge").join(draws.select(*key, draw, "side", "safe_radius"), key)
     half = F.floor(F.col("side") / 2)
     j = j.filter((F.col("x") >= half) & (F.col("x") < F.col("w") - half) & (F.col("y") >= half) & (F.col("y") < F.col("h") - half))
     strict = F.col("d") > F.col("safe_radius")
@@ -106,15 +106,15 @@ def stem_pipeline(images: DataFrame, masks: DataFrame, draws: DataFrame, key: li
     ``images`` and ``masks``: key, x, y, v in 0..1; ``draws``: table of :func:`draw_table`. A step whose
     ``_enabled`` column is false is skipped; without the crop the whole frame is resized. Output ``key, draw,
     x, y, v, reason``: a draw without a safe centre is one row without pixel and with the reason. Elastic
-    warp and carbon film are not applied.
+    warp and carbon film are not applied. Pixels meet tables of draws by merge, never by a broadcast by file size.
     """
     k2 = [*key, "draw"]
     d = cut(draws.join(P.image_size(images, key), key))
     on = lambda group, value, other: F.when(F.col(f"{group}_enabled"), F.col(value)).otherwise(F.lit(other))
-    px = images.join(d.select(*k2), key).select(*k2, "x", "y", "v")
+    px = images.hint("merge").join(d.select(*k2), key).select(*k2, "x", "y", "v")
     # distances are made once per mask; every draw turns them with its image
     far = cut(distance_map(masks.join(d.filter("crop_enabled").select(*key).distinct(), key, "left_semi"), key))
-    mk = far.join(d.filter("crop_enabled").select(*k2), key).select(*k2, "x", "y", F.col("d").alias("v"))
+    mk = far.hint("merge").join(d.filter("crop_enabled").select(*k2), key).select(*k2, "x", "y", F.col("d").alias("v"))
     warp = d.select(*k2, "w", "h", corner_jitter(seed, k2, on("perspective", "perspective_max_ratio", 0.0), F.col("w"), F.col("h")).alias("q"))
     px = P.perspective(px, warp, "bilinear", "reflect101", k2)
     turn = d.select(*k2, "w", "h", on("rotate", "rotate_range", 0.0).alias("angle"))
@@ -128,24 +128,24 @@ def stem_pipeline(images: DataFrame, masks: DataFrame, draws: DataFrame, key: li
     win = want.join(c.filter("reason is null"), k2).select(*k2, F.col("side").alias("cw"), F.col("side").alias("ch"), (F.col("cx") - half).cast("int").alias("left"), (F.col("cy") - half).cast("int").alias("top"))
     whole = d.filter("not crop_enabled").select(*k2, F.col("w").alias("cw"), F.col("h").alias("ch"), F.lit(0).alias("left"), F.lit(0).alias("top"))
     win = win.unionByName(whole)
-    px = P.crop(px.join(win, k2), F.col("left"), F.col("top"), F.col("cw"), F.col("ch")).select(*k2, "x", "y", "v")
+    px = P.crop(px.hint("merge").join(win, k2), F.col("left"), F.col("top"), F.col("cw"), F.col("ch")).select(*k2, "x", "y", "v")
     box = win.select(*k2, F.col("cw").alias("w"), F.col("ch").alias("h"))
     px = P.resize(px, out_size, out_size, "bilinear", k2, box)
     frame = win.select(*k2, F.lit(out_size).alias("w"), F.lit(out_size).alias("h"))
     fl = d.select(*k2, (hash_uniform(seed + 31, *k2) < on("flip", "flip_h_prob", 0.0)).alias("fh"), (hash_uniform(seed + 32, *k2) < on("flip", "flip_v_prob", 0.0)).alias("fv"))
-    px = P.flip(px.join(fl, k2), frame, F.col("fh"), F.col("fv"), k2).select(*k2, "x", "y", "v")
+    px = P.flip(px.hint("merge").join(fl, k2), frame, F.col("fh"), F.col("fv"), k2).select(*k2, "x", "y", "v")
     em = frame.join(d.select(*k2, on("edge_mask", "edge_mask_prob", 0.0).alias("edge_prob"), "edge_mask_bg_min", "edge_mask_bg_max"), k2)
     px = cut(P.edge_mask(px, em, F.col("edge_prob"), F.col("edge_mask_bg_min"), F.col("edge_mask_bg_max"), seed + 40, k2))
     n = win.join(d.drop("w", "h"), k2).withColumns({"w": F.lit(out_size), "h": F.lit(out_size), "k": 2.0 * F.least("cw", "ch") / float(out_size)})
     n = n.withColumns({"sigma_px": F.col("noise_sigma_jitter_A") / (F.col("noise_pixel_size_A_orig") * F.col("k")), "row_time": F.col("noise_dwell_time_s") * F.col("noise_width_orig_px"),
                        "freq": F.col("noise_line_freq_hz"), "phase_x": F.col("noise_phase_x"), "phase_y": F.col("noise_phase_y")})
     noisy = n.filter("noise_enabled")
-    loud = cut(P.scan_jitter(px.join(noisy.select(*k2), k2), noisy.select(*k2, "w", "h", "sigma_px", "row_time", "freq", "phase_x", "phase_y"), seed + 50, k2))
+    loud = cut(P.scan_jitter(px.hint("merge").join(noisy.select(*k2), k2), noisy.select(*k2, "w", "h", "sigma_px", "row_time", "freq", "phase_x", "phase_y"), seed + 50, k2))
     par = noisy.select(*k2, P.electron_dose(F.col("noise_beam_current_A"), F.col("noise_dwell_time_s"), F.col("k")).alias("dose"), "noise_gaussian_sigma")
-    loud = cut(P.poisson_noise(loud.join(par, k2), F.col("dose"), seed + 60, k2))
+    loud = cut(P.poisson_noise(loud.hint("merge").join(par, k2), F.col("dose"), seed + 60, k2))
     loud = P.gaussian_noise(loud, F.col("noise_gaussian_sigma"), seed + 70, k2).select(*k2, "x", "y", "v")
-    quiet = px.join(n.filter("not noise_enabled").select(*k2), k2).select(*k2, "x", "y", "v")
-    px = loud.unionByName(quiet).join(d.select(*k2, "display_enabled", "display_gain", "display_bias", "display_gamma"), k2)
+    quiet = px.hint("merge").join(n.filter("not noise_enabled").select(*k2), k2).select(*k2, "x", "y", "v")
+    px = loud.unionByName(quiet).hint("merge").join(d.select(*k2, "display_enabled", "display_gain", "display_bias", "display_gamma"), k2)
     shown = P.display_adjust(F.col("v"), F.col("display_gain"), F.col("display_bias"), F.col("display_gamma"))
     v = F.when(F.col("display_enabled"), shown).otherwise(F.col("v"))
     px = px.select(*k2, "x", "y", P.unit_to_signed(P.clip(v, 0.0, 1.0)).alias("v"), F.lit(None).cast("string").alias("reason"))

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from layerframe.iterate import cut
 from layerframe.operators import augment as A
 from layerframe.operators import pixels as P
 
@@ -50,3 +51,11 @@ def test_geometry_does_not_depend_on_partitions(spark, ramp):
 
     a, b = every(1), every(5)
     assert a == b and len(a[0]) == 240
+
+
+def test_stored_pixels_are_never_broadcast(spark, ramp):
+    """Pixels are far smaller as files than as rows: joined with tables of images they go by merge."""
+    px, size = cut(ramp), cut(P.image_size(ramp))
+    made = [P.gaussian_noise(px, 0.1, 1), P.poisson_noise(px, F.lit(9.0), 1), P.flip(px, size, F.lit(True), F.lit(False)), P.edge_mask(px, size, 0.5, 0.0, 0.1, 1)]
+    for df in made:
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString() and df.count() == 240
