@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,26 +18,44 @@ def align_axes(w_nm: Column, h_nm: Column, w_px: Column, h_px: Column) -> tuple[
     return F.when(swap, w_nm).otherwise(h_nm), F.when(swap, h_nm).otherwise(w_nm), swap
 
 
+def _best_cells(lo: float, hi: float, tol: float):
+    """Arrow function (height, width) -> best grid: the candidates of all images of a batch are tried one (row, col) at a time."""
+    @F.pandas_udf("row int, col int, unit_nm double, crop_height_nm double, crop_width_nm double, loss_nm2 double, adjusted boolean")
+    def best(height: pd.Series, width: pd.Series) -> pd.DataFrame:
+        h, w = height.to_numpy(float), width.to_numpy(float)
+        rows, cols = (np.maximum(1, np.floor(np.nan_to_num(v) / lo)).astype(np.int64) for v in (h, w))
+        # outside, loss, distance of the unit from the middle, |row - col|, row, col: in the order of preference
+        rank = [np.full(len(h), np.inf) for _ in range(6)]
+        out = [np.zeros(len(h)) for _ in range(5)]
+        for r in range(1, int(rows.max(initial=0)) + 1):
+            for c in range(1, int(cols[rows >= r].max(initial=0)) + 1):
+                at = np.flatnonzero((rows >= r) & (cols >= c))
+                feasible = np.fmin(h[at] / r, w[at] / c)
+                unit = np.fmin(feasible, hi)
+                ch, cw = r * unit, c * unit
+                outside = ~((unit >= lo - tol) & (unit <= hi + tol))
+                new = [outside.astype(float), np.maximum(0.0, h[at] * w[at] - ch * cw), np.abs(unit - (lo + hi) * 0.5), *(np.full(len(at), float(v)) for v in (abs(r - c), r, c))]
+                less, same = np.zeros(len(at), bool), np.ones(len(at), bool)
+                for n, o in zip(new, rank, strict=True):
+                    less |= same & (n < o[at])
+                    same &= n == o[at]
+                for old, v in ((rank, new), (out, [unit, ch, cw, new[1], outside | (feasible > hi + tol)])):
+                    for o, n in zip(old, v, strict=True):
+                        o[at[less]] = n[less]
+        return pd.DataFrame({"row": rank[4].astype(np.int32), "col": rank[5].astype(np.int32), "unit_nm": out[0], "crop_height_nm": out[1], "crop_width_nm": out[2], "loss_nm2": out[3], "adjusted": out[4] > 0})
+
+    return best
+
+
 def optimal_grid(images: DataFrame, keys: list[str], unit_min: float, unit_max: float, tol: float = 1e-3) -> DataFrame:
     """Best tile grid per image (height_nm, width_nm): least lost area, then unit nearest the middle, then squarest.
 
     Units within the range come first; otherwise the best fallback is marked ``adjusted``. The candidates of
-    one image are exploded and reduced with one aggregate.
+    an image are compared inside its batch; no row is made of them, and only images are shuffled, to be told apart.
     """
-    lo, hi = min(unit_min, unit_max), max(unit_min, unit_max)
-    h, w = F.col("height_nm"), F.col("width_nm")
-    top = lambda c: F.greatest(F.lit(1), F.floor(c / lo)).cast("int")
-    d = images.filter((h > 0) & (w > 0)).select(*keys, "height_nm", "width_nm")
-    d = d.withColumn("row", F.explode(F.sequence(F.lit(1), top(h)))).withColumn("col", F.explode(F.sequence(F.lit(1), top(w))))
-    feas = F.least(h / F.col("row"), w / F.col("col"))
-    d = d.withColumn("feasible", feas).withColumn("unit_nm", F.least("feasible", F.lit(float(hi)))).filter("unit_nm > 0")
-    d = d.withColumn("crop_height_nm", F.col("row") * F.col("unit_nm")).withColumn("crop_width_nm", F.col("col") * F.col("unit_nm"))
-    d = d.withColumn("loss_nm2", F.greatest(F.lit(0.0), h * w - F.col("crop_height_nm") * F.col("crop_width_nm")))
-    out = ~((F.col("unit_nm") >= lo - tol) & (F.col("unit_nm") <= hi + tol))
-    d = d.withColumn("outside", out).withColumn("adjusted", out | (F.col("feasible") > hi + tol))
-    rank = F.struct("outside", "loss_nm2", F.abs(F.col("unit_nm") - (lo + hi) * 0.5).alias("mid"), F.abs(F.col("row") - F.col("col")).alias("sq"), "row", "col")
-    pick = F.struct("row", "col", "unit_nm", "crop_height_nm", "crop_width_nm", "loss_nm2", "adjusted")
-    return d.groupBy(*keys, "height_nm", "width_nm").agg(F.min_by(pick, rank).alias("g")).select(*keys, "height_nm", "width_nm", "g.*")
+    lo, hi = float(min(unit_min, unit_max)), float(max(unit_min, unit_max))
+    d = images.filter((F.col("height_nm") > 0) & (F.col("width_nm") > 0) & F.lit(hi > 0)).select(*keys, "height_nm", "width_nm").distinct()
+    return d.withColumn("g", _best_cells(lo, hi, tol)("height_nm", "width_nm")).select(*keys, "height_nm", "width_nm", "g.*")
 
 
 def crop_plan(grid: DataFrame, tile: int = 128) -> DataFrame:
