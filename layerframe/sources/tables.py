@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..iterate import cut
 from ..operators.regress import metric_aggs
 
 # Column orders and decimals of the result files.
@@ -25,6 +26,7 @@ INTERLAYER_DECIMALS = {"sideA_A": 4, "stacking_theta_deg": 6, "shift_px_x": 3, "
 SEGMENTATION_COLUMNS = ["image_path", "physical_size_nm", "original_pixels", "processing_pixels", "output_pixels", "scale_factor", "instance_count", "extraction_mode"]
 MERGE_COLUMNS = ["subfolder", "base_name", "physical_size_nm", "output_pixels", "scale_factor", "mask0_instances", "mask1_instances"]
 RESIDUAL_COLUMNS = ["iter", "shift_h", "shift_w", "shift_index", "t", "t_next", "lambda_t", "k", "k_mode", "residual_abs_mean", "adaptive"]
+CHUNK_BITS = 16  # lines of a table that are numbered from one offset
 GRAY_COLUMNS = {2: ["x", "y", "layer1_gray", "layer2_gray", "bilayer_gray"], 3: ["x", "y", "layer1_gray", "layer2_gray", "layer3_gray", "trilayer_gray"]}
 
 
@@ -63,21 +65,26 @@ def read_gray_tables(spark: SparkSession, folder: str, layers: int = 2) -> DataF
     need = GRAY_COLUMNS[layers][2:]
     glob = os.path.join(folder, "gray_values_*.csv")
     lines = spark.read.text(glob).select("value", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("m"))
-    head = lines.filter("b = 0").groupBy("f").agg(F.min_by("value", "m").alias("header"))
+    first = lines.filter("b = 0").groupBy("f").agg(F.min("m").alias("m"))
     cols = F.transform(F.split("header", ","), lambda c: F.trim(c))
+    # one row per file
+    head = cut(lines.filter("b = 0").join(first, ["f", "m"]).select("f", F.col("value").alias("header")))
     ok = head.filter(F.size(F.array_intersect(cols, F.array(*[F.lit(c) for c in need]))) == len(need)).withColumn("pos", cols).select("f", "header", "pos")
-    body = lines.join(ok, "f").filter(F.col("value") != F.col("header"))
-    parts = F.split("value", ",")
-    val = [F.get(parts, F.array_position("pos", c).cast("int") - 1).try_cast("double").alias(c) for c in need]
-    # row numbers per file split, shifted by the rows of the splits before it
-    n = body.groupBy("f", "b").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("f").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    off = n.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("off"))
-    w = Window.partitionBy("f", "b").orderBy("m")
-    out = body.join(off, ["f", "b"]).select(*val, F.col("f").alias("source_image"), (F.row_number().over(w) - 1 + F.col("off")).cast("bigint").alias("pixel_index"))
     if ok.isEmpty():
         raise ValueError(f"no gray-value table with {need} in {folder}")
-    return out
+    # ids of one split and chunk are consecutive, so a line's number is its distance from the first one of its chunk, plus the
+    # rows of the chunks before, less the headers in between: one row per chunk is ordered, and no line is sorted or sent
+    body = lines.join(ok, "f").withColumn("c", F.shiftright("m", CHUNK_BITS))
+    is_head = F.col("value") == F.col("header")
+    n = body.groupBy("f", "b", "c").agg(F.min("m").alias("start"), F.count(F.when(~is_head, 1)).alias("n"))
+    before = Window.partitionBy("f").orderBy("b", "c").rowsBetween(Window.unboundedPreceding, -1)
+    heads = body.filter(is_head).groupBy("f", "b", "c").agg(F.array_sort(F.collect_list("m")).alias("heads"))
+    chunks = n.withColumn("off", F.coalesce(F.sum("n").over(before), F.lit(0))).join(heads, ["f", "b", "c"], "left").select("f", "b", "c", "start", "off", "heads")
+    parts = F.split("value", ",")
+    val = [F.get(parts, F.array_position("pos", c).cast("int") - 1).try_cast("double").alias(c) for c in need]
+    passed = F.coalesce(F.size(F.filter("heads", lambda h: h < F.col("m"))), F.lit(0))
+    index = F.col("off") + F.col("m") - F.col("start") - F.when(F.col("heads").isNull(), 0).otherwise(passed)
+    return body.filter(~is_head).join(cut(chunks), ["f", "b", "c"]).select(*val, F.col("f").alias("source_image"), index.cast("bigint").alias("pixel_index"))
 
 
 def prediction_sheets(df: DataFrame) -> dict[str, DataFrame]:

@@ -160,3 +160,22 @@ def test_unreadable_images_are_listed(spark, tmp_path):
     (tmp_path / "b.png").write_bytes(b"no image")
     assert [(r.x, r.y, r.v) for r in FS.read_gray(spark, str(tmp_path)).collect()] == [(0, 0, 10.0)]
     assert [r.image_id.rsplit("/", 1)[1] for r in FS.unreadable_images(spark, str(tmp_path)).collect()] == ["b.png"]
+
+
+def test_gray_table_lines_are_numbered_without_sorting_them(spark, tmp_path):
+    """Splits, chunks and repeated headers: the number of a line counts the rows before it in its file."""
+    head = "x,y,layer1_gray,layer2_gray,bilayer_gray"
+    for name, n in (("a", 90_000), ("b", 70_001), ("c", 3)):
+        rows = [f"1,2,{i},0,{i % 7}" for i in range(n)]
+        rows[n // 2:n // 2] = [head] * 2
+        (tmp_path / f"gray_values_{name}.csv").write_text("\n".join([head, *rows]) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300000")
+    try:
+        t = TB.read_gray_tables(spark, str(tmp_path))
+        r = t.groupBy("source_image").agg(F.count("*").alias("n"), F.sum((F.col("pixel_index") != F.col("layer1_gray")).cast("int")).alias("wrong")).orderBy("n").collect()
+        plan = t._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(x.n, x.wrong) for x in r] == [(3, 0), (70_001, 0), (90_000, 0)]
+    assert "Window" not in plan and "Sort " not in plan
