@@ -53,7 +53,12 @@ def residual_log(pixels: DataFrame, key: list[str], fixed: float | None = None,
     """Per tile (tr, tc): k, its mode, mean |k·s − y| and the raster index of the tile."""
     tile = [*key, "tr", "tc"]
     k = scale_factor(pixels, tile, fixed, adaptive)
-    r = pixels.join(k.select(*tile, "k", "k_mode"), tile).groupBy(*tile, "k", "k_mode").agg(F.avg(F.abs(F.col("k") * F.col("s") - F.col("t"))).alias("residual_abs_mean"))
+    return _residuals(pixels.join(k.select(*tile, "k", "k_mode"), tile), key)
+
+
+def _residuals(fitted: DataFrame, key: list[str]) -> DataFrame:
+    """`residual_log` of pixels that have the k and k_mode of their tile."""
+    r = fitted.groupBy(*key, "tr", "tc", "k", "k_mode").agg(F.avg(F.abs(F.col("k") * F.col("s") - F.col("t"))).alias("residual_abs_mean"))
     width = r.groupBy(*key).agg((F.max("tc") + 1).alias("nc"))
     return r.join(width, key).withColumn("shift_index", F.col("tr") * F.col("nc") + F.col("tc")).withColumn("adaptive", F.col("k_mode") == "adaptive").drop("nc")
 
@@ -63,19 +68,29 @@ def residual_series(layers: DataFrame, target: DataFrame, key: list[str], schedu
 
     ``layers``: key, tr, tc, layer, x, y, v in 0..1; ``target``: key, tr, tc, x, y, t. A step logs the residual it starts
     from and then applies :func:`consistency_step` inside its tile. ``iter`` counts the records of an image: tiles in
-    raster order, the steps of a tile one after the other. The state of a step is a stored table, so that the plan of
-    the next one stays small and a lost executor costs one step.
+    raster order, the steps of a tile one after the other. The layers of a pixel are one row, which has its target; a step
+    sends the rows to the k of their tile once, by merge, and stores them, so that the plan of the next one stays small
+    and a lost executor costs one step. The layers after the last step are computed when they are used.
     """
     tile = [*key, "tr", "tc"]
-    wanted = cut(target.select(*tile, "x", "y", "t"))
-    state, logs = cut(layers), []
-    for n, (t, t_next, lam) in enumerate(schedule):
-        sums = state.groupBy(*tile, "x", "y").agg(F.sum("v").alias("s")).join(wanted, [*tile, "x", "y"])
-        row = residual_log(sums, key, fixed, adaptive)
-        logs.append(row.withColumns({"iter": (F.col("shift_index") * len(schedule) + n).cast("bigint"), "t": F.lit(t), "t_next": F.lit(t_next), "lambda_t": F.lit(float(lam))}))
-        state = cut(consistency_step(state, wanted, tile, lam, fixed, adaptive))
+    n = layers.groupBy(*tile).agg(F.countDistinct("layer").alias("n_l"))
+    rows = layers.groupBy(*tile, "x", "y").agg(F.array_sort(F.collect_list(F.struct("layer", "v"))).alias("vs"))
+    state = cut(rows.join(target.select(*tile, "x", "y", "t").hint("merge"), [*tile, "x", "y"]))
+    known, logs = F.filter(F.col("vs")["v"], lambda v: v.isNotNull()), []
+    total = F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, v: a + v))
+    for i, (t, t_next, lam) in enumerate(schedule):
+        sums = state.withColumn("s", total)
+        k = scale_factor(sums, tile, fixed, adaptive).select(*tile, "k", "k_safe", "k_mode").join(n.hint("merge"), tile)
+        fitted = cut(sums.join(k.hint("merge"), tile))
+        row = _residuals(fitted, key)
+        logs.append(row.withColumns({"iter": (F.col("shift_index") * len(schedule) + i).cast("bigint"), "t": F.lit(t), "t_next": F.lit(t_next), "lambda_t": F.lit(float(lam))}))
+        step = lam * (1.0 / F.col("n_l")) / F.col("k_safe") * (F.col("k") * F.col("s") - F.col("t"))
+        state = fitted.withColumn("_d", step).withColumn("vs", F.transform("vs", lambda e: F.struct(e["layer"].alias("layer"), (e["v"] - F.col("_d")).alias("v")))).select(*tile, "x", "y", "vs", "t")
+        if not i:  # pixels without a target are gone
+            n = state.groupBy(*tile).agg(F.size(F.array_distinct(F.flatten(F.collect_set(F.col("vs")["layer"])))).alias("n_l"))
     log = reduce(DataFrame.unionByName, logs)
-    return log.withColumnsRenamed({"tr": "shift_h", "tc": "shift_w"}), state
+    left = state.select(*tile, "x", "y", F.explode("vs").alias("e")).select(*tile, "e.layer", "x", "y", "e.v")
+    return log.withColumnsRenamed({"tr": "shift_h", "tc": "shift_w"}), left
 
 
 def series_summary(log: DataFrame, key: list[str]) -> DataFrame:

@@ -1,5 +1,6 @@
 """Sources, logs and streams that must not depend on one task, one batch or one schema."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from layerframe.operators import regress as R
@@ -95,3 +96,23 @@ def test_series_ends_at_the_target(spark):
     assert rows[0].residual_abs_mean > 0.01 and abs(rows[1].residual_abs_mean) < 1e-12
     got = {r.x: r.s for r in after.groupBy("x").agg(F.sum("v").alias("s")).collect()}
     assert all(abs(0.5 * got[x] - (0.2 + 0.02 * x)) < 1e-12 for x in range(4))
+
+
+def test_residual_series_joins_pixels_by_merge(spark):
+    """Three layers, one without pixels that have a target, an unknown value, and k of each tile; no pixel is broadcast or stored after the last step."""
+    v = {(layer, x): 0.1 * (layer + 1) + 0.07 * x for layer in (0, 1) for x in range(4)}
+    rows = [(1, 0, 0, layer, x, 0, w) for (layer, x), w in v.items()] + [(1, 0, 0, 2, 9, 0, 0.5), (1, 0, 0, 1, 4, 0, None), (1, 0, 0, 0, 4, 0, 0.3)]
+    layers = spark.createDataFrame(rows, "i int, tr int, tc int, layer int, x int, y int, v double")
+    target = spark.createDataFrame([(1, 0, 0, x, 0, 0.2 + 0.05 * x) for x in range(5)], "i int, tr int, tc int, x int, y int, t double")
+    log, after = S.residual_series(layers, target, ["i"], [(9, 5, 0.5), (5, -1, 1.0)])
+    now, n = {**v, (0, 4): 0.3}, 3
+    for r, lam in zip(log.orderBy("iter").collect(), (0.5, 1.0), strict=True):
+        s = {x: sum(w for (_, z), w in now.items() if z == x) for x in range(5)}
+        t = {x: 0.2 + 0.05 * x for x in range(5)}
+        k = min(1.0, sum(s[x] * t[x] for x in s) / sum(s[x] * s[x] for x in s))
+        assert r.k == pytest.approx(k) and r.residual_abs_mean == pytest.approx(sum(abs(k * s[x] - t[x]) for x in s) / 5)
+        now, n = {(a, x): w - lam / n / k * (k * s[x] - t[x]) for (a, x), w in now.items()}, 2
+    got = {(r.layer, r.x): r.v for r in after.collect()}
+    assert got.pop((1, 4)) is None and got == pytest.approx(now)
+    plan = after._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
