@@ -116,3 +116,5 @@ def test_residual_series_joins_pixels_by_merge(spark):
     assert got.pop((1, 4)) is None and got == pytest.approx(now)
     plan = after._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
+    # of the log only the sizes of the tiling are joined; pixels have been
+    assert log._jdf.queryExecution().executedPlan().toString().count("Join") <= 2
