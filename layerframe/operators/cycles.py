@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..iterate import cut, first_independent_set
-from .points import radius_pairs
 
 VERTS = ["p0", "p1", "p2", "p3"]
 COORDS = [f"{a}{i}" for i in range(4) for a in "xy"]
@@ -21,33 +20,44 @@ def _p(i: int) -> G.Vec:
     return F.col(f"x{i % 4}"), F.col(f"y{i % 4}")
 
 
-def with_vertices(cycles: DataFrame, points: DataFrame, keys: list[str]) -> DataFrame:
-    """Attach the coordinates of the four vertices: one join on the point id, one regroup."""
-    rest = [c for c in cycles.columns if c not in keys and c not in VERTS]
-    v = cycles.select(*keys, *VERTS, *rest, F.posexplode(F.array(*VERTS)).alias("_i", "pt_id"))
-    j = v.join(points.select(*keys, "pt_id", "x", "y"), [*keys, "pt_id"])
-    agg = [F.max(F.when(F.col("_i") == i, F.col(a))).alias(f"{a}{i}") for i in range(4) for a in "xy"]
-    return j.groupBy(*keys, *VERTS, *rest).agg(*agg)
+#: Side of a block of points, in edge lengths, and the halo that surely holds every neighbour within one.
+BLOCK, HALO = 4.0, 1.0 + 1e-6
 
 
 def enumerate_cycles(points: DataFrame, keys: list[str], limit: Column | float) -> DataFrame:
     """4-cycles (k, i, l, j) from edges (i, j) ≤ limit with two common neighbours k < l.
 
     One cycle per vertex set; of several diagonals the least (i, j) is taken. ``limit`` may be a column
-    of ``points``.
+    of ``points``. All vertices lie within the limit of i, so points go to their block and, within the halo, to
+    the adjoining ones, and each block finds the cycles of its own points i: one exchange, of points only.
     """
-    e = cut(radius_pairs(points, limit, keys).select(*keys, "i", "j"))
-    adj = e.select(*keys, F.col("i").alias("a"), F.col("j").alias("b")).unionByName(e.select(*keys, F.col("j").alias("a"), F.col("i").alias("b")))
-    via_i = e.join(adj.select(*keys, F.col("a").alias("i"), F.col("b").alias("k")), [*keys, "i"])
-    common = via_i.join(adj.select(*keys, F.col("a").alias("j"), F.col("b").alias("k")), [*keys, "j", "k"])
+    r = limit if isinstance(limit, Column) else F.lit(float(limit))
+    p = points.select(*keys, "pt_id", "x", "y", r.cast("double").alias("_r")).withColumns({"_s": BLOCK * F.col("_r"), "_h": HALO * F.col("_r")})
+    for a in "xy":
+        p = p.withColumn(f"_o{a}", F.floor(F.col(a) / F.col("_s")))
+    for a in "xy":
+        p = p.withColumn(f"_b{a}", F.explode(F.sequence(F.floor((F.col(a) - F.col("_h")) / F.col("_s")), F.floor((F.col(a) + F.col("_h")) / F.col("_s")))))
+    own = (F.col("_bx") == F.col("_ox")) & (F.col("_by") == F.col("_oy"))
+    g = p.groupBy(*keys, "_bx", "_by").agg(F.collect_list(F.struct(F.col("pt_id").alias("p"), "x", "y", own.alias("own"))).alias("_all"), F.max("_r").alias("_r"))
+
+    def linked(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return dx * dx + dy * dy <= F.col("_r") * F.col("_r")
+
+    def neighbours(cell: str, of: str) -> Column:
+        return F.filter(cell, lambda q: (q["p"] != F.col(of)["p"]) & linked(F.col(of), q))
+
+    d = g.select(*keys, "_r", "_all", F.explode(F.filter("_all", lambda q: q["own"])).alias("_i"))
+    d = d.select(*keys, "_r", "_i", F.array_sort(neighbours("_all", "_i")).alias("_near"))
+    d = d.select(*keys, "_r", "_i", "_near", F.explode(F.filter("_near", lambda q: q["p"] > F.col("_i")["p"])).alias("_j"))
     # an edge has few common neighbours, so the pairs k < l stay close to the output
-    tri = common.groupBy(*keys, "i", "j").agg(F.sort_array(F.collect_list("k")).alias("ks")).filter(F.size("ks") >= 2)
-    k1 = tri.select(*keys, "i", "j", "ks", F.posexplode("ks").alias("n", "k"))
-    both = k1.select(*keys, "i", "j", "k", F.explode(F.expr("slice(ks, n + 2, size(ks))")).alias("l"))
-    verts = F.sort_array(F.array("i", "j", "k", "l")).alias("vs")
-    one = both.groupBy(*keys, verts).agg(F.min(F.struct("i", "j", "k", "l")).alias("c"))
-    cyc = one.select(*keys, F.col("c.k").alias("p0"), F.col("c.i").alias("p1"), F.col("c.l").alias("p2"), F.col("c.j").alias("p3"))
-    return with_vertices(cyc, points, keys)
+    d = d.select(*keys, "_r", "_i", "_j", neighbours("_near", "_j").alias("_ks"))
+    d = d.select(*keys, "_r", "_i", "_j", "_ks", F.posexplode("_ks").alias("_n", "_k"))
+    d = d.select(*keys, "_r", "_i", "_j", "_k", F.explode(F.expr("slice(_ks, _n + 2, size(_ks))")).alias("_l"))
+    # a vertex set has another diagonal only when k and l are linked too; all six edges are there then
+    d = d.filter(~linked(F.col("_k"), F.col("_l")) | (F.col("_j")["p"] < F.col("_k")["p"]))
+    order = ["_k", "_i", "_l", "_j"]
+    return d.select(*keys, *[F.col(v)["p"].alias(f"p{i}") for i, v in enumerate(order)], *[F.col(v)[a].alias(f"{a}{i}") for i, v in enumerate(order) for a in "xy"])
 
 
 def rank_of() -> Column:
