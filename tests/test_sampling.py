@@ -65,3 +65,11 @@ def test_layout_is_dealt_out(spark):
     size = spark.range(400).select(F.col("id").alias("image_id"), F.lit(8).alias("w"), F.lit(8).alias("h")).coalesce(1)
     rows = P.grid_of(size, F.col("w"), F.col("h")).groupBy(F.spark_partition_id()).count().collect()
     assert len(rows) > 1 and sum(r["count"] for r in rows) == 25600
+
+
+def test_jitter_is_laid_out_by_all_tasks(spark):
+    """The rows of all images come from one small table of sizes, which is dealt out before they are made."""
+    px = spark.range(640).select(F.floor(F.col("id") / 64).alias("image_id"), (F.col("id") % 8).cast("int").alias("x"), F.floor(F.col("id") % 64 / 8).cast("int").alias("y"), F.lit(1.0).alias("v"))
+    plan = P.image_size(px).withColumns({"sigma_px": F.lit(0.8), "row_time": F.lit(8e-4), "freq": F.lit(60.0), "phase_x": F.lit(0.0), "phase_y": F.lit(1.0)})
+    out = P.scan_jitter(px, plan, 5)
+    assert "RoundRobinPartitioning" in out._jdf.queryExecution().executedPlan().toString() and out.count() == 640
