@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..iterate import cut
-from .points import displacement_vectors, nearest, trimmed_mean
+from .points import displacement_vectors, nearest, nearest_of_few, trimmed_mean
 
 
 # ---------------------------------------------------------------- stacking class
@@ -64,7 +64,7 @@ def search_shift(ref: DataFrame, moving: DataFrame, keys: list[str], max_shift:
         s = centres.withColumn("dx", F.explode(o)).withColumn("dy", F.explode(o))
         s = s.select(*keys, (F.col("dx") + F.col("ox")).alias("dx"), (F.col("dy") + F.col("oy")).alias("dy"))
         q = moving.join(s, keys).select(*keys, "dx", "dy", "pt_id", (F.col("x") + F.col("dx")).alias("x"), (F.col("y") + F.col("dy")).alias("y"))
-        near = cut(nearest(q, ref, [*keys, "dx", "dy"], keys, ["pt_id"]).select(*keys, "dx", "dy", "d"))
+        near = cut(nearest_of_few(q, ref, [*keys, "dx", "dy"], keys, ["pt_id"]).select(*keys, "dx", "dy", "d"))
         sc = trimmed_mean(near, [*keys, "dx", "dy"], "d", trim, min_keep)
         best = sc.groupBy(*keys).agg(F.min(F.struct("score", "dx", "dy")).alias("b"))
         return best.select(*keys, F.col("b.dx").alias("ox"), F.col("b.dy").alias("oy"), F.col("b.score").alias("score"))
