@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import geometry as G
 from ..iterate import cut, grouped_quantiles
 from . import cycles as C
+from .growth import CYCLE, EDGE, GROUP, layers
 from .points import knn, nn_summary
 
 # Reason codes of a failed layer, in the order they are tested.
@@ -162,11 +163,18 @@ def axis_edges(centroids: DataFrame, axes: DataFrame, keys: list[str], k: int =
 
     Rule ``nn_min``: lengths in [nn_min, 1.2·nn_min]; rule ``nn_med``: 0.6..2.2·nn_med.
     """
-    nn = nn_summary(centroids, keys).select(*keys, "nn_med", "nn_min").filter("nn_min > 0")
-    # an edge found from either end counts once; (dx, dy) follows the lower id
-    e = knn(centroids, k, keys).select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") < F.col("j"), F.col("dx")).otherwise(-F.col("dx")).alias("dx"),
-                                       F.when(F.col("i") < F.col("j"), F.col("dy")).otherwise(-F.col("dy")).alias("dy"), "d").dropDuplicates([*keys, "a", "b"])
-    j = e.join(nn, keys).join(axes.filter("a1 is not null"), keys)
+    return edges_near(once(knn(centroids, k, keys), keys), nn_summary(centroids, keys).select(*keys, "nn_med", "nn_min"), axes, keys, tol)
+
+
+def once(vectors: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges a < b: an edge found from either end counts once; (dx, dy) follows the lower id."""
+    return vectors.select(*keys, F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(F.col("i") < F.col("j"), F.col("dx")).otherwise(-F.col("dx")).alias("dx"),
+                          F.when(F.col("i") < F.col("j"), F.col("dy")).otherwise(-F.col("dy")).alias("dy"), "d").dropDuplicates([*keys, "a", "b"])
+
+
+def edges_near(edges: DataFrame, nn: DataFrame, axes: DataFrame, keys: list[str], tol: float = 18.0) -> DataFrame:
+    """:func:`axis_edges` of known edges and neighbour distances (nn_med, nn_min)."""
+    j = edges.join(nn.filter("nn_min > 0"), keys).join(axes.filter("a1 is not null"), keys)
     v = G.vec("dx", "dy")
     to = [G.axial_angle(v, (F.cos(F.radians(a)), F.sin(F.radians(a)))) for a in ("a0", "a1")]
     j = j.withColumn("t0", to[0]).withColumn("t1", to[1]).filter(F.least("t0", "t1") <= max(1.0, tol))
@@ -294,15 +302,15 @@ def grow_components(points: DataFrame, candidates: DataFrame, nn: DataFrame, key
     return total
 
 
-def layer_lattice(points: DataFrame, images: DataFrame, keys: list[str], dist_factor: float = 1.15, strict: bool = False, reject_flip: bool = True, flip_tol: float = 25.0,
-                  da_angstrom: float = 6.4, db_angstrom: float = 6.6, out_scale: float = 4.0, max_hop: int = 3, max_components: int = 3, min_atoms: int = 10) -> DataFrame:
-    """Origin and lattice vectors per layer, with the first failing reason.
+#: Points of a group that are worked on inside one task; groups with more take the set operators and stored rounds.
+IN_TASK = 1 << 16
 
-    ``images``: keys, w, h (null when the image is missing) and side_angstrom. ``points``: keys, pt_id, x, y.
-    """
-    n = points.groupBy(*keys).agg(F.count("*").alias("n_atoms"))
-    ok = n.filter(F.col("n_atoms") >= min_atoms).select(*keys)
-    pts = cut(points.select(*keys, "pt_id", "x", "y").join(ok, keys, "left_semi").join(images.filter("w is not null").select(*keys), keys, "left_semi"))
+
+def _by_rounds(points: DataFrame, per_px: DataFrame, keys: list[str], dist_factor: float, strict: bool, reject_flip: bool, flip_tol: float,
+               da_angstrom: float, db_angstrom: float, max_hop: int, max_components: int, min_atoms: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cycles, edges, groups) as `_in_tasks` has them, by the set operators."""
+    ok = points.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_atoms).select(*keys)
+    pts = cut(points.select(*keys, "pt_id", "x", "y").join(ok, keys, "left_semi").join(per_px.select(*keys), keys, "left_semi"))
     nn = cut(nn_summary(pts, keys).filter("nn_med > 0"))
     lim = pts.join(nn.select(*keys, (F.col("nn_med") * dist_factor).alias("lim")), keys)
     cand = cut(C.with_score(C.with_shape(C.enumerate_cycles(lim, keys, F.col("lim")))))
@@ -311,28 +319,61 @@ def layer_lattice(points: DataFrame, images: DataFrame, keys: list[str], dist_fa
         keep = keep.filter("strict")
     keep = cut(keep)
     flat = cut(C.dominant_direction_filter(keep, keys, flip_tol)) if reject_flip else keep
-    per_px = images.filter("w is not null").select(*keys, (F.col("w") / F.col("side_angstrom")).alias("px_per_angstrom"))
     grown = grow_components(pts, flat, nn.join(per_px, keys), keys, da_angstrom, db_angstrom, max_hop, max_components)
     cents = cut(grown.select(*keys, *C.VERTS, *C.COORDS, "cx", "cy", "component", "seq"))
     many = cents.groupBy(*keys).agg(F.count("*").alias("n_cycles"))
     pos = cents.join(many.filter("n_cycles >= 2").select(*keys), keys, "left_semi")
     # one number per cycle: the least vertex id is unique, cycles are disjoint
     pc = cut(pos.select(*keys, F.least(*C.VERTS).alias("pt_id"), F.col("cx").alias("x"), F.col("cy").alias("y")))
+    hist = cut(direction_histogram(short_vectors(cut(direction_vectors(pc, keys)), keys), keys))
+    state = nn.select(*keys).withColumn("stage", F.lit(1))
+    for df in (cand, keep, flat):
+        state = state.join(df.select(*keys).distinct().withColumn("_more", F.lit(1)), keys, "left").withColumn("stage", F.col("stage") + F.coalesce("_more", F.lit(0))).drop("_more")
+    state = state.join(many, keys, "left").join(nn_summary(pc, keys).select(*keys, "nn_med", "nn_min"), keys, "left").join(hist, keys, "left")
+    return cents, once(knn(pc, 6, keys), keys), state.select(*keys, "stage", "n_cycles", "nn_med", "nn_min", "h")
+
+
+def _in_tasks(points: DataFrame, per_px: DataFrame, keys: list[str], *how) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(cycles of the patches; edges a < b between centroids; stage, n_cycles, nn_med and nn_min of the centroids and histogram ``h`` per group)."""
+    made = cut(layers(points, per_px, keys, *how))
+    cents = made.filter(F.col("kind") == CYCLE).select(*keys, *C.VERTS, *C.COORDS, "cx", "cy", "component", "seq")
+    edges = made.filter(F.col("kind") == EDGE).select(*keys, F.col("p0").alias("a"), F.col("p1").alias("b"), F.col("x0").alias("dx"), F.col("y0").alias("dy"), F.col("cx").alias("d"))
+    cycles = F.when(F.col("component") > 0, F.col("component").cast("bigint"))
+    nn = [F.when(cycles >= 2, F.col(c)).alias(name) for c, name in (("cx", "nn_med"), ("cy", "nn_min"))]
+    return cents, edges, made.filter(F.col("kind") == GROUP).select(*keys, F.col("seq").alias("stage"), cycles.alias("n_cycles"), *nn, "h")
+
+
+def layer_lattice(points: DataFrame, images: DataFrame, keys: list[str], dist_factor: float = 1.15, strict: bool = False, reject_flip: bool = True, flip_tol: float = 25.0,
+                  da_angstrom: float = 6.4, db_angstrom: float = 6.6, out_scale: float = 4.0, max_hop: int = 3, max_components: int = 3, min_atoms: int = 10, in_task: int = IN_TASK) -> DataFrame:
+    """Origin and lattice vectors per layer, with the first failing reason.
+
+    ``images``: keys, w, h (null when the image is missing) and side_angstrom. ``points``: keys, pt_id, x, y.
+    Layers of at most ``in_task`` points are worked on inside tasks (:func:`growth.layers`), larger ones by the set operators, with the same result.
+    """
+    n = cut(points.groupBy(*keys).agg(F.count("*").alias("n_atoms")))
+    per_px = images.filter("w is not null").select(*keys, (F.col("w") / F.col("side_angstrom")).alias("px_per_angstrom"))
+    how = dist_factor, strict, reject_flip, flip_tol, da_angstrom, db_angstrom, max_hop, max_components, min_atoms
+    big = n.filter(F.col("n_atoms") > in_task).select(*keys)
+    if big.isEmpty():
+        cents, edges, state = _in_tasks(points, per_px, keys, *how)
+    else:
+        parts = _in_tasks(points.join(big, keys, "left_anti"), per_px.join(big, keys, "left_anti"), keys, *how), _by_rounds(points.join(big, keys, "left_semi"), per_px.join(big, keys, "left_semi"), keys, *how)
+        cents, edges, state = (cut(a.unionByName(b)) for a, b in zip(*parts, strict=True))
     seed = cents.filter("component = 0 and seq = 0").select(
         *keys, F.struct((F.col("x1") - F.col("x0")).alias("x"), (F.col("y1") - F.col("y0")).alias("y")).alias("e0"),
         F.struct((F.col("x3") - F.col("x0")).alias("x"), (F.col("y3") - F.col("y0")).alias("y")).alias("e1"))
-    hist = cut(direction_histogram(short_vectors(cut(direction_vectors(pc, keys)), keys), keys))
-    axes = cut(main_axes(pick_axes(hist, keys).join(seed, keys, "left"), keys))
-    vectors = lattice_vectors(axis_lengths(axis_edges(pc, axes, keys), keys))
+    # few bytes and much work a row: dealt by number, since a scan or an exchange by size would be one task
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    picked = cut(pick_axes(state.filter("h is not null").select(*keys, "h").repartition(parts, *keys), keys))
+    axes = cut(main_axes(picked.join(seed, keys, "left"), keys))
+    vectors = lattice_vectors(axis_lengths(edges_near(edges, state.select(*keys, "nn_med", "nn_min"), axes, keys), keys))
     size = images.select(*keys, "w", "h")
     first = cents.withColumn("seq", F.struct("component", "seq"))
     origin = pick_origin(first.join(size, keys), keys, F.col("w"), F.col("h"))
     done = align_to_corner(vectors, origin, keys).select(*keys, "origin", "da", "db")
-    flag = lambda df, name: df.select(*keys).distinct().withColumn(name, F.lit(True))
-    out = images.join(n, keys, "left").join(many, keys, "left").join(done, keys, "left")
-    for df, name in ((nn, "_nn"), (cand, "_cand"), (keep, "_keep"), (flat, "_flat")):
-        out = out.join(flag(df, name), keys, "left")
-    tests = [F.col("w").isNull(), F.coalesce("n_atoms", F.lit(0)) < min_atoms, F.col("_nn").isNull(), F.col("_cand").isNull(), F.col("_keep").isNull(), F.col("_flat").isNull(),
+    out = images.join(n, keys, "left").join(state.select(*keys, "stage", "n_cycles"), keys, "left").join(done, keys, "left")
+    stage = F.coalesce("stage", F.lit(0))
+    tests = [F.col("w").isNull(), F.coalesce("n_atoms", F.lit(0)) < min_atoms, stage < 1, stage < 2, stage < 3, stage < 4,
              F.col("n_cycles").isNull(), F.col("n_cycles") < 2, F.col("da").isNull()]
     reason = F.lit("")
     for t, r in reversed(list(zip(tests, REASONS))):
